@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .pieces import Pieces
+from .pieces import Coded, Pieces
 
 #: Steps, judged pairs and words that a worker keeps at most; then what was judged or read is forgotten, and the machine grows no more.
 STEPS, PAIRS, WORDS = 300_000, 400_000, 200_000
@@ -192,20 +192,23 @@ class Codec:
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.tokens = [self.transducer.bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.words: dict[str, bytes] = {}
-        self.pieces = Pieces(lambda texts, spaced: map(self.piece, texts))
-
-    def piece(self, text: str) -> bytes:
-        words, out = self.words, []
-        for w in self.pattern.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = array("I", self.transducer.word(w.encode())).tobytes()
-                if len(w) < 64:
-                    if len(words) > WORDS:
-                        words.clear()
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.pieces = Pieces(self.coded)
+
+    def coded(self, texts: list[str], spaced: bool) -> Coded:
+        words, find, word, out, sizes = self.words, self.pattern.findall, self.transducer.word, array("I"), []
+        if len(words) > WORDS:
+            words.clear()
+        for text in texts:
+            before = len(out)
+            for w in find(text):
+                ids = words.get(w)
+                if ids is None:
+                    ids = word(w.encode())
+                    if len(w) < 64:
+                        words[w] = ids
+                out.extend(ids)
+            sizes.append(len(out) - before)
+        return np.frombuffer(out, np.uint32) if out else np.zeros(0, np.uint32), np.array(sizes, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin, with the end."""

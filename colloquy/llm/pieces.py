@@ -1,99 +1,79 @@
 """Texts as pieces that a byte-level tokenizer treats apart, each encoded once.
 
-The tokenizers here split a text before every space and after every newline that another character than white space
-follows, and nothing before such a point bears on what follows. So a text is a row of pieces, each with or without a space
-before it, and newlines; a piece's ids are looked up in a bounded memory."""
+The tokenizers here split a text before every space that another character than white space follows, and nothing before
+that point bears on what follows. So a text is the stretch before its first space, and one piece for each space. Pieces
+are told apart, counted and looked up column by column; only those not met before are encoded."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces in each of the two generations of a worker's memory at most.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers at most.
+REMEMBERED = 400_000
+#: A space before white space or the end is no such point.
+NO_PIECE = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
-
-class Memory:
-    """key → ids; entries not asked for since the last turn are forgotten at the next."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def find(self, keys: list[str]) -> list[str]:
-        """Bring the known keys to hand; the others."""
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        new, old, missing = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                ids = old.get(k)
-                if ids is None:
-                    missing.append(k)
-                else:
-                    new[k] = ids
-        return missing
+Coded = tuple[np.ndarray, np.ndarray]
 
 
 class Pieces:
-    """encode: strings → the ids of each as bytes of unsigned 32-bit integers. The strings of a call that are pieces have ``True`` given with
-    them if each begins with a space, its only one, and ``False`` if there is none in them; with ``None`` they are any texts."""
-
-    def __init__(self, encode: Callable[[list[str], bool | None], Iterable[bytes]], remembered: int = REMEMBERED):
-        self.encode, self.after, self.bare = encode, Memory(remembered), Memory(remembered)
-        (self.newline,) = encode(["\n"], None)
+    """encode: strings → all their ids (unsigned 32-bit) and how many each has. With ``True`` each string is a piece, which begins with a space and has no
+    other; with ``False`` they are any texts."""
 
-    def _known(self, memory: Memory, keys: list[str], spaced: bool) -> dict[str, bytes]:
-        missing = memory.find(keys)
-        memory.new.update(zip(missing, self.encode([" " + k for k in missing] if spaced else missing, spaced), strict=True))
-        return memory.new
+    def __init__(self, encode: Callable[[list[str], bool], Coded], remembered: int = REMEMBERED):
+        self.encode, self.remembered = encode, remembered
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _coded(self, pieces: list[str], spaced: bool) -> list[bytes | None]:
-        """Ids of stretches without a space inside; None: not to be taken apart."""
-        parts = [p.split("\n") if "\n" in p else None for p in pieces]
-        fit = [all(q and not q[0].isspace() for q in parts[i] or (p,)) for i, p in enumerate(pieces)]
-        first = [x[0] if x else p for p, x, f in zip(pieces, parts, fit, strict=True) if f]
-        rest = [q for x, f in zip(parts, fit, strict=True) if f and x for q in x[1:]]
-        lead = self._known(self.after if spaced else self.bare, list(dict.fromkeys(first if spaced else first + rest)), spaced)
-        bare = self._known(self.bare, list(dict.fromkeys(rest)), False) if spaced else lead
-        out: list[bytes | None] = []
-        for p, x, f in zip(pieces, parts, fit, strict=True):
-            if not f:
-                out.append(None)
-            elif x:
-                out.append(self.newline.join([lead[x[0]], *[bare[q] for q in x[1:]]]))
-            else:
-                out.append(lead[p])
-        return out
-
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts: pa.Array) -> Coded:
         """All ids end to end, and where each text's begin, with the end."""
         texts = texts.cast(pa.large_string())
         lists = pc.split_pattern(texts, " ")
         places = lists.offsets.to_numpy()
+        heads = lists.flatten().take(pa.array(places[:-1])).to_pylist()
         coded = lists.flatten().dictionary_encode()
-        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        ids = self._coded(pieces, True)
-        head_at = places[:-1]
-        heads = {k: len(pieces) + i for i, k in enumerate(dict.fromkeys(at[head_at].tolist()))}
-        ids += self._coded([pieces[k] for k in heads], False)
-        at[head_at] = [heads[k] for k in at[head_at].tolist()]
-        odd = np.array([x is None for x in ids])
-        text_of = np.repeat(np.arange(len(texts)), np.diff(places))
-        whole = np.unique(text_of[odd[at]]) if odd.any() else np.zeros(0, np.int64)
-        if len(whole):  # white space that isn't one space or newline between words: such a text in one go
-            own = np.isin(text_of, whole)
-            base = len(ids)
-            ids += self.encode([texts[int(i)].as_py() for i in whole], None)
-            at[own] = len(ids)
-            at[head_at[whole]] = base + np.arange(len(whole))
-            ids.append(b"")
-        size = np.array([len(x) // 4 if x else 0 for x in ids])
-        values = np.frombuffer(b"".join([x for x in ids if x]), np.uint32)
-        count = size[at]
-        begin = np.cumsum(size) - size
+        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        old = pc.index_in(pieces, value_set=self.known)
+        is_new = pc.is_null(old).to_numpy(zero_copy_only=False)
+        fresh = pieces.filter(pa.array(is_new))
+        odd = pc.match_substring_regex(fresh, NO_PIECE).to_numpy(zero_copy_only=False)
+        fresh = fresh.filter(pa.array(~odd))
+        new_ids, new_sizes = self.encode([" " + p for p in fresh.to_pylist()], True)
+        head_ids, head_sizes = self.encode(heads, False)
+
+        # numbers: known pieces, new ones, heads, odd pieces' texts, nothing
+        n_known, n_new = len(self.known), len(fresh)
+        number = np.empty(len(pieces), np.int64)
+        number[~is_new] = old.drop_null().to_numpy()
+        of_new = np.full(len(odd), -1, np.int64)
+        of_new[~odd] = n_known + np.arange(n_new)
+        number[is_new] = of_new
+        number = number[at]
+        number[places[:-1]] = n_known + n_new + np.arange(len(heads))
+        whole = np.zeros(0, np.int64)
+        whole_ids, whole_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if odd.any():  # such texts in one go
+            text_of = np.repeat(np.arange(len(texts)), np.diff(places))
+            whole = np.unique(text_of[number < 0])
+        if len(whole):
+            whole_ids, whole_sizes = self.encode(texts.take(pa.array(whole)).to_pylist(), False)
+            number[np.isin(text_of, whole)] = n_known + n_new + len(heads) + len(whole)
+            number[places[whole]] = n_known + n_new + len(heads) + np.arange(len(whole))
+        values = np.concatenate((self.ids, new_ids, head_ids, whole_ids))
+        size = np.concatenate((self.sizes, new_sizes, head_sizes, whole_sizes, [0]))
+        begin = (np.cumsum(size) - size)[number]
+        count = size[number]
         ends = np.cumsum(count)
-        out = values[np.repeat(begin[at] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        out = values[np.repeat((begin - (ends - count)).astype(np.int32), count) + np.arange(total, dtype=np.int32)]
+
+        room = self.remembered - n_known
+        if room > 0 and n_new:
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, room)])
+            self.sizes = np.concatenate((self.sizes, new_sizes[:room]))
+            self.ids = np.concatenate((self.ids, new_ids[: int(new_sizes[:room].sum())]))
         return out, np.concatenate(([0], ends))[places]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .pieces import Pieces
+from .pieces import Coded, Pieces
 from .wavelet import WaveletMatrix
 
 #: Tokens after which a shard ends with its document.
@@ -45,21 +45,15 @@ def encoder(vocabulary: str) -> Pieces:
         tokenizer.encode_special_tokens = True
 
         first = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
-        newline = tokenizer.encode("\n", add_special_tokens=False).ids
-
-        def encode(texts: list[str], spaced: bool | None) -> Iterator[bytes]:
-            if spaced is None or not spaced and len(newline) != 1:
-                yield from (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-                return
-            # many pieces in one go: a token that begins with a space begins the next, or a newline stands between two
-            for i in range(0, len(texts), 256):
-                text = ("" if spaced else "\n").join(texts[i : i + 256])
-                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-                data, cuts = ids.tobytes(), (np.flatnonzero(first[ids] if spaced else ids == newline[0]) * 4).tolist()
-                if spaced:
-                    yield from (data[j:k] for j, k in zip(cuts, [*cuts[1:], len(data)], strict=True))
-                else:
-                    yield from (data[j:k] for j, k in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True))
+
+        def encode(texts: list[str], spaced: bool) -> Coded:
+            if not spaced:
+                found = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+            # many pieces in one go: a token that begins with a space begins the next
+            joined = ["".join(texts[i : i + 512]) for i in range(0, len(texts), 512)]
+            ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]])
+            return ids, np.diff(np.flatnonzero(first[ids]), append=len(ids))
 
         _loaded[vocabulary] = Pieces(encode)
     return _loaded[vocabulary]
