@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -105,8 +105,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
     docs.mapInArrow(_shards(vocabulary, shard_tokens), _SHARD).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (binary, little-endian unsigned 32-bit, with END)."""
+def read_tokens(spark: SparkSession, path: str, **derived: Column) -> DataFrame:
+    """doc_id, start (ids of all documents before it), ids (binary, little-endian unsigned 32-bit, with END).
+
+    derived: columns to return instead of ids; what they are made of need not move."""
     shards = spark.read.schema(_SHARD).parquet(path)
     # places of shards from their counts: by part, then inside it
     sizes = shards.select("part", "shard", "n_tokens")
@@ -126,6 +128,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * k, pa.int32()), pa.array([row["shard"]] * k, pa.int32()), pa.array(names), pa.array(at), pa.array(ids, pa.binary())], ["part", "shard", "doc_id", "at", "ids"])
 
     docs = shards.select("part", "shard", "docs", "data").mapInArrow(run, "part int, shard int, doc_id long, at long, ids binary")
+    docs = docs.select("part", "shard", "doc_id", "at", *[c.alias(n) for n, c in (derived or {"ids": F.col("ids")}).items()])
     found = docs.join(starts, ["part", "shard"]).withColumn("start", F.col("base") + F.col("at")).drop("part", "shard", "base", "at")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id")))
 
