@@ -7,8 +7,6 @@ import struct
 import numpy as np
 import zstandard
 
-_BLOCK = 64
-
 
 class WaveletMatrix:
     """Planes go from the highest bit down; each is the current order's bit, and sends zeros before ones for the next.
@@ -111,7 +109,8 @@ class WaveletMatrix:
         for p in self.planes:
             raw = p.tobytes()
             small = packer.compress(raw)
-            out.append(struct.pack("<BI", len(small) < len(raw), min(len(small), len(raw))) + min(small, raw, key=len))
+            kept = small if len(small) < len(raw) else raw
+            out.append(struct.pack("<BI", kept is small, len(kept)) + kept)
         return b"".join(out)
 
     @classmethod
