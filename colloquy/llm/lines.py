@@ -86,7 +86,7 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     prepare(docs.sparkSession)
     given = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
     docs = docs.select(F.struct(*[c for c in given if c != "text"]).alias("__row"), F.col("text").isNull().alias("__null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("__text"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    repeated = repeated_lines(docs.select("doc_id", "lines"), least_chars, least_docs, batches)
+    repeated = cut(repeated_lines(docs.select("doc_id", "lines"), least_chars, least_docs, batches))  # so that a common line's rows can be split in the join
     places = docs.select("doc_id", "__text", F.explode(_hashes(F.col("lines"), least_chars)).alias("h")).select("doc_id", "__text", "h.*")
     gone = places.join(repeated, ["h1", "h2"]).where(F.col("doc_id") != F.col("holder")).groupBy("doc_id", "__text").agg(F.collect_set("pos").alias("gone"))
     out = docs.join(gone, ["doc_id", "__text"], "left")
