@@ -29,6 +29,7 @@ FLOORS = (0.1, 0.15, 0.1, 0.1)
 #: Probability that a normal vector lies beyond the limit.
 TAIL = 1e-9
 D = len(FLOORS)
+SALTS = 32
 
 
 def statistics(text: str) -> tuple[int, int, int, int, int]:
@@ -110,6 +111,12 @@ def _distance() -> Column:
     return sum((off[i] * off[j] * F.col("inverse")[D * i + j] for i in range(D) for j in range(D)), F.lit(0.0))
 
 
+def _beside(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Each row with its group's estimate; a large group's rows go to SALTS tasks."""
+    estimates = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*[f"y{i}" for i in range(D)]), F.lit(SALTS)).cast("int")).join(estimates, ["g", "salt"])
+
+
 def _quantile_bin(bins: DataFrame, part: float, *by: str) -> DataFrame:
     """The bin that a part of each group's rows reach. bins: the group's columns, bin, n."""
     up = Window.partitionBy(*by).orderBy("bin")
@@ -125,7 +132,7 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     fixed = np.diag(1 / np.square(FLOORS)).ravel().tolist()
     now = cut(start.groupBy("g").agg(at.alias("centre")).withColumn("inverse", F.array(*map(F.lit, fixed))))
     for _ in range(steps):
-        far = rows.join(now, "g").withColumn("bin", F.least(F.floor(F.log1p(_distance()) * 128), F.lit(100_000)))
+        far = _beside(rows, now).withColumn("bin", F.least(F.floor(F.log1p(_distance()) * 128), F.lit(100_000)))
         far = far.select("g", "bin", *[f"y{i}" for i in range(D)])
         # sums by bin, then of the bins that make the core: no row moves but as part of a sum
         sums = [F.sum(F.col(f"y{i}")).alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"q{i}{j}") for i in range(D) for j in range(i, D)]
@@ -151,7 +158,7 @@ def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     # the group's own name, or the one of all small groups
     vectors = cut(rows.where("not base_failed").join(large, F.col("name") == F.col("__name"), "left").select("doc_id", *_NAMES, F.coalesce("__name", F.lit("")).alias("g"), *[f"y{i}" for i in range(D)]))
     limit = _chi2_quantile(tail, D)
-    far = vectors.join(robust_estimates(vectors), "g").withColumn("distance", _distance())
+    far = _beside(vectors, robust_estimates(vectors)).withColumn("distance", _distance())
     columns = ["doc_id", *_NAMES]
     passed = far.select(*columns, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= limit).alias("kept"))
     return passed.unionByName(rows.where("base_failed").select(*columns, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
