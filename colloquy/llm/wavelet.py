@@ -24,10 +24,10 @@ class WaveletMatrix:
         bits = max(1, int(values.max()).bit_length() if n else 1) if bits is None else bits
         planes, x = [], values
         for level in range(bits - 1, -1, -1):
-            bit = (x >> x.dtype.type(level)) & x.dtype.type(1) != 0
+            bit = x & x.dtype.type(1 << level) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             if level:
-                x = np.concatenate((x[~bit], x[bit]))
+                x = np.concatenate((x.compress(~bit), x.compress(bit)))
         return cls(planes, n)
 
     def values(self, kind: type = np.uint16) -> np.ndarray:
@@ -37,8 +37,8 @@ class WaveletMatrix:
             bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             zeros = self.zeros[len(self.planes) - 1 - level]
             y = np.empty_like(x)
-            y[~bit] = x[:zeros]
-            y[bit] = x[zeros:] | kind(1 << level)
+            y[np.flatnonzero(~bit)] = x[:zeros]
+            y[np.flatnonzero(bit)] = x[zeros:] | kind(1 << level)
             x = y
         return x
 
