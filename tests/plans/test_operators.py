@@ -114,3 +114,41 @@ def test_stream_agrees_with_batch(spark, sf_dir, tmp_path):
     day = F.window(F.col("ts").cast("timestamp"), "1 day")
     want = {(r[0], r[1], r[2]) for r in batch.groupBy(day.alias("w"), "event_type").count().select("w.start", "event_type", "count").collect()}
     assert {(r.start, r.event_type, r.n) for r in spark.table("totals").collect()} == want
+
+
+def test_whitelist_and_relabel(spark):
+    from colloquy.operators import identity
+
+    names = spark.createDataFrame([("Johann",), ("Maria",)], "name string")
+    seen = spark.createDataFrame([(1, "johann"), (2, "Joham"), (3, "zzz"), (4, None)], "id int, name string")
+    assert {r.id: r.resolved for r in identity.resolved(seen, names).collect()} == {1: "Johann", 2: None, 3: None, 4: None}
+    assert {r.id: r.resolved for r in identity.resolved(seen, names, 0.7).collect()}[2] == "Johann"
+    rows = spark.createDataFrame([("s1", None), ("s2", "old"), ("s3", "old")], "speaker string, name string")
+    wanted = spark.createDataFrame([("s1", "Ana"), ("s2", "unknown"), ("s3", "Bo"), ("s4", "bo")], "speaker string, name string")
+    assert {r.speaker: r.name for r in identity.relabelled(rows, wanted).collect()} == {"s1": "Ana", "s2": "old", "s3": "old"}
+
+
+def test_missing_audit_clears_direct_names(spark):
+    from colloquy.operators import identity
+
+    rows = spark.createDataFrame([(1, "a", True), (2, "b", True), (3, "c", False)], "id int, name string, direct boolean")
+    audit = spark.createDataFrame([(1, True), (2, False)], "id int, confirmed boolean")
+    assert {r.id: r.name for r in identity.confirmed_only(rows, audit, ["id"]).collect()} == {1: "a", 2: None, 3: "c"}
+    assert {r.id: r.name for r in identity.confirmed_only(rows, audit.limit(0), ["id"]).collect()} == {1: None, 2: None, 3: "c"}
+
+
+def test_documents(spark):
+    from colloquy.operators import documents
+
+    cells = spark.createDataFrame([("| a | b |",), ("|---|---|",), ("x",)], "line string").select(documents.table_cells(F.col("line")).alias("c"))
+    assert [r.c for r in cells.collect()] == [["a", "b"], None, None]
+    a = spark.createDataFrame([(1, 0, "in 2 days, 3 times"), (1, 1, "x")], "k int, i int, t string")
+    b = spark.createDataFrame([(1, 0, "3 mal in 2 Tagen"), (1, 2, "x")], "k int, i int, t string")
+    assert {tuple(r) for r in documents.misaligned(a, b, "k", "i", "t").collect()} == {(1, 1, "row_missing"), (1, 2, "row_missing")}
+
+
+def test_normal_form(spark):
+    from colloquy.operators import identity
+
+    df = spark.createDataFrame([("Ｆｕｌｌ-width’s  X!",), (None,)], "t string").select(identity.normal_form("t").alias("x"))
+    assert [r.x for r in df.collect()] == ["full width's x", None]
