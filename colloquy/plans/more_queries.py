@@ -51,10 +51,11 @@ def b17_environment_check(spark: SparkSession, sf: str) -> DataFrame:
     return a.union(b).union(c).union(d).agg(F.count("*").alias("checks"), F.count_if(F.col("n") == 0).alias("failed"))
 
 
-@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+ [a-z]{2,}\b')) AS name FROM benchmark) SELECT item_id, name, count(*) AS n FROM w WHERE length(name) <= 28 GROUP BY ALL""")
+@query(r"""WITH w AS (SELECT item_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS name FROM benchmark) SELECT item_id, name, count(*) AS n FROM w WHERE regexp_full_match(name, '[A-Z][a-z]{3,27}') GROUP BY ALL""")
 def c8_candidate_names(spark: SparkSession, sf: str) -> DataFrame:
-    w = T.table(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+ [a-z]{2,}\b"), F.lit(0))).alias("name"))
-    return w.where(F.length("name") <= 28).groupBy("item_id", "name").agg(F.count("*").alias("n"))
+    """Words in title case of a name's length."""
+    w = T.table(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("name"))
+    return w.where(F.col("name").rlike("^[A-Z][a-z]{3,27}$")).groupBy("item_id", "name").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT n_nationkey AS id, n_name AS resolved FROM nation""")
