@@ -24,7 +24,7 @@ from .common import prepare
 from .pieces import Coded, Pieces
 
 #: Steps, judged pairs and words that a worker keeps at most; then what was judged or read is forgotten, and the machine grows no more.
-STEPS, PAIRS, WORDS = 220_000, 400_000, 120_000
+STEPS, PAIRS, WORDS = 100_000, 300_000, 80_000
 
 
 class Transducer:
@@ -192,7 +192,7 @@ class Codec:
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.tokens = [self.transducer.bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.words: dict[str, bytes] = {}
-        self.pieces = Pieces(self.coded, 300_000)
+        self.pieces = Pieces(self.coded, 250_000)
 
     def coded(self, texts: list[str], spaced: bool) -> Coded:
         words, find, word, out, sizes = self.words, self.pattern.findall, self.transducer.word, array("I"), []
@@ -242,11 +242,12 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            for i in range(0, batch.num_rows, 3000):
-                part = batch.slice(i, 3000)
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
                 ids, cuts = own.encode(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
                 decoded = ["".join(own.decode(ids[j:k])) for j, k in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()  # the worker may idle beside other stages
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
