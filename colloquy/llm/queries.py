@@ -23,7 +23,8 @@ def op1_vector_approximation_top_k(spark: SparkSession, sf_dir: str) -> DataFram
 def op2_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.new_path(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return tokenfile.read_tokens(spark, path, n_tokens=(F.octet_length("ids") / 4).cast("long"), ids_crc32=F.crc32("ids"))
+    found = tokenfile.read_tokens(spark, path, n_tokens=(F.octet_length("ids") / 4).cast("long"), ids_crc32=F.crc32("ids"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_naive_bayes_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
