@@ -71,9 +71,11 @@ def has_keyword(text: Column, words: tuple[str, ...] = KEYWORDS) -> Column:
 
 
 def top_char_share(text: Column) -> tuple[Column, Column]:
-    """Count of the most frequent character, white space aside, and of all."""
-    chars = F.split(F.regexp_replace(text, r"\s+", ""), "")
-    return F.array_max(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)))), F.size(chars)
+    """Count of the most frequent character, white space aside, and of all; 0 where there is none."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    n = F.length(plain)
+    counts = F.transform(F.array_distinct(F.split(plain, "")), lambda c: n - F.length(F.replace(plain, c, F.lit(""))))
+    return F.when(n == 0, 0).otherwise(F.array_max(counts)), n
 
 
 def whole(vector: Column, scale: int = 64) -> Column:

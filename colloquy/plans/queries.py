@@ -106,10 +106,10 @@ def e15_context(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.overlap_join(s, h, ["rec"]).groupBy("rec", "ord").agg(F.count("*").alias("hits"))
 
 
-@query(f"""WITH {SEG}, h AS (SELECT rec, ord FROM seg WHERE length(text) % 7 = 0) SELECT DISTINCT s.rec, s.ord FROM seg s JOIN h ON s.rec = h.rec AND s.ord BETWEEN h.ord - 1 AND h.ord + 1""")
+@query(f"""WITH {SEG}, h AS (SELECT rec, ord FROM seg WHERE length(text) >= 600) SELECT DISTINCT s.rec, s.ord FROM seg s JOIN h ON s.rec = h.rec AND s.ord BETWEEN h.ord - 1 AND h.ord + 1""")
 def e24_row_offsets(spark: SparkSession, sf: str) -> DataFrame:
     s = T.segments(spark, sf)
-    h = s.where(F.length("text") % 7 == 0).select("rec", F.explode(F.sequence(F.col("ord") - 1, F.col("ord") + 1)).alias("ord")).distinct()
+    h = s.where(F.length("text") >= 600).select("rec", F.explode(F.sequence(F.col("ord") - 1, F.col("ord") + 1)).alias("ord")).distinct()
     return s.join(h, ["rec", "ord"], "left_semi").select("rec", "ord")
 
 
@@ -126,9 +126,9 @@ def e30_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "customer").join(T.table(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey % 3 <> 0), b AS (SELECT DISTINCT s_suppkey AS k FROM supplier WHERE s_suppkey % 2 = 0) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' ELSE 'unexpected' END AS reason FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+@query("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), b AS (SELECT DISTINCT s_suppkey AS k FROM supplier WHERE s_acctbal > 0) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' ELSE 'unexpected' END AS reason FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def e19_set_equality(spark: SparkSession, sf: str) -> DataFrame:
-    return gates.set_difference(T.table(spark, sf, "lineitem").where("l_suppkey % 3 <> 0").select(F.col("l_suppkey").alias("k")), T.table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k")), ["k"])
+    return gates.set_difference(T.table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_suppkey").alias("k")), T.table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k")), ["k"])
 
 
 @query(f"""WITH {TURN}, a AS (SELECT rec, speaker, count(*) AS a_n FROM seg GROUP BY ALL), b AS (SELECT rec, speaker, count(*) AS b_n FROM turn GROUP BY ALL) SELECT coalesce(a.rec, b.rec) AS rec, coalesce(a.speaker, b.speaker) AS speaker, coalesce(a_n, 0) AS a_n, coalesce(b_n, 0) AS b_n, coalesce(a_n, 0) = coalesce(b_n, 0) AS ok FROM a FULL OUTER JOIN b ON a.rec = b.rec AND a.speaker = b.speaker""")
@@ -307,11 +307,10 @@ def h5_suppressed_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.suppressed(f, "rec").select("rec", "id")
 
 
-@query("""WITH c AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS t FROM documents WHERE length(text) < 400), x AS (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM c), n AS (SELECT doc_id, ch, count(*) AS n FROM x GROUP BY ALL) SELECT doc_id, CAST(max(n) AS INTEGER) AS top, CAST(sum(n) AS INTEGER) AS total FROM n GROUP BY doc_id""")
+@query("""WITH c AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS t FROM documents), x AS (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM c), n AS (SELECT doc_id, ch, count(*) AS n FROM x WHERE ch <> '' GROUP BY ALL), s AS (SELECT doc_id, max(n) AS top, sum(n) AS total FROM n GROUP BY doc_id) SELECT doc_id, CAST(coalesce(top, 0) AS INTEGER) AS top, CAST(coalesce(total, 0) AS INTEGER) AS total FROM documents LEFT JOIN s USING (doc_id)""")
 def c1_char_share(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.table(spark, sf, "documents").where(F.length("text") < 400)
     top, n = C.top_char_share(F.col("text"))
-    return d.select("doc_id", top.alias("top"), n.alias("total"))
+    return T.table(spark, sf, "documents").select("doc_id", top.alias("top"), n.alias("total"))
 
 
 @query(f"""WITH {SEG} SELECT rec, ord, start_ms, (start_ms + end_ms) // 2 AS middle FROM seg WHERE {' OR '.join(f"contains(lower(text), '{k}')" for k in C.KEYWORDS)}""")
