@@ -63,3 +63,10 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], keep: list[str]) ->
     order = Window.partitionBy(*on).orderBy("t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__row", ignorenulls=True).over(order)).where("__side = 1")
     return both.select(*left.columns, *[F.col("__last")[c].alias(f"r_{c}") for c in keep])
+
+
+def contained(left: DataFrame, right: DataFrame, on: list[str], width: int = 60_000) -> DataFrame:
+    """left rows wholly in an interval of right, with the start and end of the first one, as in_a and in_b."""
+    pairs = overlap_join(left, right.select(*on, "start_ms", "end_ms"), on, width).where("start_ms >= r_start_ms AND end_ms <= r_end_ms")
+    first = F.min(F.struct("r_start_ms", "r_end_ms")).alias("x")
+    return pairs.groupBy(*left.columns).agg(first).select(*left.columns, F.col("x.r_start_ms").alias("in_a"), F.col("x.r_end_ms").alias("in_b"))

@@ -104,3 +104,46 @@ def look_back(rows: DataFrame, by: list[str], order: str, most_rows: int, most_m
     starts = F.reverse(F.collect_list("start_ms").over(w))
     n = F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + F.when(s["on"] & (F.col("start_ms") - x <= most_ms), 1).otherwise(0)).alias("n"), (s["on"] & (F.col("start_ms") - x <= most_ms)).alias("on")), lambda s: s["n"])
     return rows.withColumn("context", n)
+
+
+def runs(rows: DataFrame, by: list[str], order: list[str], true: Column, least: int) -> DataFrame:
+    """by, first, last, n: maximal runs of rows for which ``true`` holds, of ``least`` rows or more; first and last are places from 0."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = rows.withColumn("__i", F.row_number().over(w) - 1).where(true)
+    rows = rows.withColumn("__g", F.col("__i") - F.row_number().over(w))  # equal within a run
+    return rows.groupBy(*by, "__g").agg(F.min("__i").cast("long").alias("first"), F.max("__i").cast("long").alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("__g")
+
+
+def without_overlap(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Ranges (first, last) of places whose start moves behind the range before; one wholly inside it stays as it is."""
+    before = F.lag("last").over(Window.partitionBy(*by).orderBy("first", "last"))
+    rows = rows.withColumn("__p", before)
+    return rows.withColumn("first", F.when((F.col("first") <= F.col("__p")) & (F.col("__p") < F.col("last")), F.col("__p") + 1).otherwise(F.col("first"))).drop("__p")
+
+
+def supplied(chunks: DataFrame, by: list[str], position: str, around: int = 2) -> DataFrame:
+    """by, chunk, first, last, from, to: places of a chunk's own rows, and with ``around`` rows more on each side within the whole."""
+    ends = chunks.groupBy(*by).agg(F.max(position).alias("__end"))
+    own = chunks.groupBy(*by, "chunk").agg(F.min(position).alias("first"), F.max(position).alias("last"))
+    return own.join(ends, by).select(*by, "chunk", "first", "last", F.greatest(F.lit(0), F.col("first") - around).alias("from"), F.least(F.col("__end"), F.col("last") + around).alias("to"))
+
+
+def most_long_parts(starts: list[float], ends: list[float], least: float) -> int:
+    """The most contiguous parts, each from its first range's start to its last range's end ``least`` or longer; 0 if there are none."""
+    best = [0] + [-1] * len(starts)
+    for j, end in enumerate(ends, 1):
+        if end < starts[j - 1]:
+            return 0
+        best[j] = max((best[i] + 1 for i in range(j) if best[i] >= 0 and end - starts[i] >= least), default=-1)
+    return max(0, best[-1])
+
+
+def long_parts(rows: DataFrame, by: str, least: float) -> DataFrame:
+    """by, parts: of the ranges of each group in order (a group's ranges are few: one per proposed topic)."""
+
+    @F.udf("int")
+    def count(items: list) -> int:
+        return most_long_parts([x[0] for x in items], [x[1] for x in items], least)
+
+    ranges = F.array_sort(F.collect_list(F.struct(F.col("start_ms").cast("double").alias("a"), F.col("end_ms").cast("double").alias("b"))))
+    return rows.groupBy(by).agg(ranges.alias("x")).select(by, count("x").cast("long").alias("parts"))

@@ -73,3 +73,14 @@ def suppressed(rows: DataFrame, by: str, most: float = 0.82) -> DataFrame:
         return pdf.iloc[kept]
 
     return rows.groupBy(by).applyInPandas(run, rows.schema)
+
+
+def colliding(profiles: DataFrame, least: float, label: str = "label") -> DataFrame:
+    """label of profiles whose cosine with another reaches ``least`` (above 0). Sums meet component by component, so no profile pair
+    is formed in one place; profiles are one per person."""
+    parts = profiles.select(label, F.posexplode("sums").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    size = parts.groupBy(label).agg(F.sum(F.col("x") * F.col("x")).alias("n"))
+    a, b = parts.toDF("a", "i", "x"), parts.toDF("b", "i", "y")
+    dots = a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    both = dots.join(size.toDF("a", "m"), "a").join(size.toDF("b", "n"), "b").where((F.col("d") > 0) & (F.col("d") * F.col("d") >= least * least * F.col("m") * F.col("n")))
+    return both.select(F.explode(F.array("a", "b")).alias(label)).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,16 @@ def threshold_sweep(scores: DataFrame, most_false: float) -> DataFrame:
     total = Window.partitionBy()
     at = at.withColumn("__bad", F.sum("bad").over(total)).where(F.col("false_accepted") <= F.col("__bad") * most_false)
     return at.orderBy(F.desc("accepted"), "score").limit(1).select(F.col("score").alias("threshold"), "accepted", "false_accepted")
+
+
+def sampled(frames: DataFrame, by: list[str], of_all: bool, least: int, share: int, confidence: Column) -> DataFrame:
+    """by, name, votes, of, confidence, outcome: votes of the sampled frames that have a name, as a share (percent) of those or of
+    all frames. confidence is computed from share_k and score_k (thousandths: share and mean score of the winner).
+    A tie goes to the smaller name."""
+    each = frames.groupBy(*by, "name").agg(F.count("*").alias("votes"), F.sum("score").alias("__s"))
+    w = Window.partitionBy(*by)
+    each = each.withColumn("of", F.sum("votes").over(w) if of_all else F.sum(F.when(F.col("name").isNotNull(), F.col("votes"))).over(w))
+    each = each.where("name IS NOT NULL").withColumn("__r", F.row_number().over(w.orderBy(F.desc("votes"), "name"))).where("__r = 1")
+    each = each.withColumns({"share_k": F.floor(F.col("votes") * 1000 / F.col("of")), "score_k": F.floor(F.col("__s") / F.col("votes"))})
+    fine = (F.col("votes") >= least) & (F.col("share_k") >= share * 10)
+    return each.select(*by, "name", "votes", "of", F.when(fine, confidence).otherwise(0).alias("confidence"), F.when(fine, "named").when(F.col("votes") < least, "few").otherwise("mixed").alias("outcome"))

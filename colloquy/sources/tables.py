@@ -46,3 +46,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
     return e.select(F.col("user_id").alias("rec"), F.col("event_id").alias("id"), F.floor(t).alias("t"), F.col("event_type").alias("name"), F.floor(F.col("value") * 1000).alias("score"))
+
+
+#: Sources of names, dealt to segments by place.
+SOURCES = ("participant_map", "manual_review", "reviewed_notes", "voice_registry", "visual_roster_avatar_match", "visual_active_speaker_highlight", "ocr_candidates_only", "")
+
+
+def named_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with name, name_source, confidence (thousandths) and confirmed."""
+    k = F.col("rec") + F.col("ord")
+    name = F.when(F.col("speaker") == "user", F.concat(F.lit("Person "), (F.col("rec") % 5).cast("string"))).when(F.col("speaker") == "assistant", F.concat(F.lit("Guest "), (F.col("ord") % 3).cast("string"))).otherwise("Speaker 1")
+    source = F.element_at(F.array(*map(F.lit, SOURCES)), (k % 8 + 1).cast("int"))
+    return segments(spark, sf_dir).withColumns({"name": name, "name_source": source, "confidence": 400 + (F.col("rec") * 7 + F.col("ord") * 13) % 600, "confirmed": k % 2 == 0})

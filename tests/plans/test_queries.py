@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from colloquy.plans import more_queries  # noqa: F401
+from colloquy.plans import identity_queries, more_queries, text_queries  # noqa: F401
 from colloquy.plans import queries as Q
 
 
