@@ -20,10 +20,10 @@ def text_errors(text: Column, longest: int) -> Column:
     return reasons((F.length(F.trim(text)) == 0, "empty"), (F.length(text) > longest, "too_long"), (text.rlike(WEB), "web_address"), (text.rlike(ACTION), "action_wording"), (text.rlike(SIGNS), "markup"))
 
 
-def capped(rows: DataFrame, section: str, order: list[str], most: dict[str, int]) -> DataFrame:
-    """rows with place (from 1, in its section) and reason: sections unknown to ``most``, and places beyond it."""
+def capped(rows: DataFrame, by: list[str], section: str, order: list[str], most: dict[str, int]) -> DataFrame:
+    """rows with place (from 1, in its section of ``by``) and reason: sections unknown to ``most``, and places beyond it."""
     limits = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])
-    place = F.row_number().over(Window.partitionBy(section).orderBy(*order)).cast("long")
+    place = F.row_number().over(Window.partitionBy(*by, section).orderBy(*order)).cast("long")
     limit = F.try_element_at(limits, F.col(section))
     return rows.withColumn("place", place).withColumn("reason", F.when(limit.isNull(), "section_unknown").when(F.col("place") > limit, "section_full"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_named, stable_id
+from ..functions.columns import is_named, normal_space, stable_id
 
 #: First-person commitments, weak intents, topics and their words, units in minutes.
 SELF_CUES = ("i will", "i'll", "i need to", "let me")
@@ -66,3 +66,16 @@ def constraints(segments: DataFrame) -> DataFrame:
     """rec, ord, topic, downtime of rows with one topic that say whether there is downtime."""
     rows = segments.withColumn("topics", topics(F.col("text"))).withColumn("downtime", downtime(F.col("text")))
     return rows.where((F.size("topics") == 1) & F.col("downtime").isNotNull()).select("rec", "ord", F.col("topics")[0].alias("topic"), "downtime")
+
+
+def published_errors(items: DataFrame, ledger: DataFrame) -> DataFrame:
+    """item, reasons of published items (item, id, text, topics, minutes) against candidates: an unknown id is the only reason; else
+    a text that isn't the quote (case and space aside), and topics or lengths that the candidate lacks."""
+    known = ledger.select("id", F.col("quote").alias("__q"), F.col("topics").alias("__t"), F.col("durations").alias("__d"))
+    both = items.join(known, "id", "left")
+
+    def same(text: str) -> Column:
+        return F.lower(normal_space(F.col(text)))
+
+    found = F.array_compact(F.array(F.when(same("text") != same("__q"), "quote_changed"), F.when(F.size(F.array_except("topics", "__t")) > 0, "topic_added"), F.when(F.size(F.array_except("minutes", "__d")) > 0, "duration_added")))
+    return both.select("item", F.when(F.col("__q").isNull(), F.array(F.lit("candidate_unknown"))).otherwise(found).alias("reasons"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,11 @@ def named_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("speaker") == "user", F.concat(F.lit("Person "), (F.col("rec") % 5).cast("string"))).when(F.col("speaker") == "assistant", F.concat(F.lit("Guest "), (F.col("ord") % 3).cast("string"))).otherwise("Speaker 1")
     source = F.element_at(F.array(*map(F.lit, SOURCES)), (k % 8 + 1).cast("int"))
     return segments(spark, sf_dir).withColumns({"name": name, "name_source": source, "confidence": 400 + (F.col("rec") * 7 + F.col("ord") * 13) % 600, "confirmed": k % 2 == 0})
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: the one set in spark.checkpoint.dir; a local one only where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-"))
+    return sc.getCheckpointDir()
