@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .pieces import Coded, Pieces
 
-#: Steps, judged pairs and words that a worker keeps at most; then what was judged or read is forgotten, and the machine grows no more.
-STEPS, PAIRS, WORDS = 100_000, 300_000, 80_000
+#: Steps, judged pairs, words and pieces that a worker keeps at most; then what was judged or read is forgotten, and the machine grows no more.
+STEPS, PAIRS, WORDS, PIECES = 100_000, 300_000, 80_000, 250_000
 
 
 class Transducer:
     """States are numbers. Of each: the settled token before it (-1: none), the bytes since, where the last token up to each of these
     ends starts and which it is (None: its encoding goes round the settled place, so it is never live), and the live places."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        self.most_steps, self.most_pairs = int(STEPS * share), int(PAIRS * share)
         self.ranks, self.bytes = ranks, {v: k for k, v in ranks.items()}
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
         self.pairs: dict[int, bool] = {}
@@ -56,7 +57,7 @@ class Transducer:
         key = (a + 1) << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > PAIRS:
+            if len(self.pairs) > self.most_pairs:
                 self.pairs.clear()
             pair = [b] if a < 0 else [a, b]
             known = self.pairs[key] = self.merged(b"".join([self.bytes[t] for t in pair])) == pair
@@ -99,7 +100,7 @@ class Transducer:
         return known
 
     def word(self, data: bytes) -> list[int]:
-        """Ids of a word. At its first step that isn't known, the machine grows by that step, up to STEPS of them; the rest
+        """Ids of a word. At its first step that isn't known, the machine grows by that step, up to ``most_steps`` of them; the rest
         of the word is simulated, so that only what comes again is determinised."""
         whole = self.ranks.get(data)
         if whole is not None:
@@ -108,7 +109,7 @@ class Transducer:
         for i, byte in enumerate(data):
             known = steps.get(state << 8 | byte)
             if known is None:
-                if len(steps) < STEPS:
+                if len(steps) < self.most_steps:
                     state, emitted = self.step(state, byte)
                     out += emitted
                     i += 1
@@ -188,15 +189,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """ids of whole texts as little-endian unsigned 32-bit integers, and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
+        self.transducer, self.pattern, self.most_words = Transducer(ranks, share), regex.compile(pattern), int(WORDS * share)
         self.tokens = [self.transducer.bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
         self.words: dict[str, bytes] = {}
-        self.pieces = Pieces(self.coded, 250_000)
+        self.pieces = Pieces(self.coded, int(PIECES * share))
 
     def coded(self, texts: list[str], spaced: bool) -> Coded:
         words, find, word, out, sizes = self.words, self.pattern.findall, self.transducer.word, array("I"), []
-        if len(words) > WORDS:
+        if len(words) > self.most_words:
             words.clear()
         for text in texts:
             before = len(out)
@@ -222,25 +223,26 @@ class Codec:
         yield stream.close()
 
 
-_loaded: dict[tuple[str, str], Codec] = {}
+_loaded: dict[tuple[str, str, float], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Codec(read_ranks(path), pattern)
-    return _loaded[path, pattern]
+def codec(path: str, pattern: str, share: float = 1.0) -> Codec:
+    if (path, pattern, share) not in _loaded:
+        _loaded[path, pattern, share] = Codec(read_ranks(path), pattern, share)
+    return _loaded[path, pattern, share]
 
 
-def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, share: float = 1.0) -> DataFrame:
     """doc_id, ids (array of int), decoded (string: the ids, decoded again).
 
     Every whole text, each match of ``pattern`` by itself, without special tokens. A null text is an empty one and has no ids; very long
     texts are one row like others; repeated rows and null doc_ids stay as they are; an empty table gives an empty result;
-    other columns are ignored. The rank file must be readable at ``ranks_path`` on every executor."""
+    other columns are ignored. ``share`` scales what a worker keeps (for jobs whose workers serve other stages too); results don't
+    depend on it. The rank file must be readable at ``ranks_path`` on every executor."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, share)
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)

@@ -53,8 +53,8 @@ def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_words"), removed.alias("n_removed"), _sha("kept").alias("kept_sha256"))
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    found = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def coded(docs: DataFrame, share: float = 1.0) -> DataFrame:
+    found = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, share)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(ids).alias("ids_sha256"), _sha(F.col("decoded").cast("binary")).alias("decoded_sha256"))
 

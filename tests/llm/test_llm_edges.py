@@ -115,6 +115,8 @@ def test_bpe(docs, none):
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.ids, r.decoded) for r in bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN).collect())
     assert got == sorted(((r[0] is not None, r[0] or 0), t.encode_ordinary(r[1] or ""), r[1] or "") for r in ROWS)
+    few = bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN, 0.0001)  # nearly nothing is kept
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.ids, r.decoded) for r in few.collect()) == got
     assert bpe.encode_and_decode(none, path, public_tokenizers.PATTERN).count() == 0
 
 
