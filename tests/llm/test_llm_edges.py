@@ -181,6 +181,25 @@ def test_rules(docs, none):
     assert {r.doc_id for r in got if r.base_failed and r.n_words < 50} >= {1, 2, 3, 7, 8}
 
 
+def plain(first, n=100, width=5):
+    return [f"{first + i:0{width}d}" for i in range(n)]
+
+
+def test_rules_reject_a_lone_outlier_in_each_statistic(spark):
+    texts = {i: " ".join(plain(200 * i)) for i in range(40)}
+    symbols = plain(9000)
+    symbols[:70:10] = [w[:4] + "#" for w in symbols[:70:10]]
+    texts[100] = " ".join(symbols)
+    texts[101] = " ".join(plain(100000, 80, 6) + plain(9200, 20))
+    texts[102] = " ".join(plain(9400, 84)) + "".join(f"\n09999\n{w}" for w in plain(9500, 8))
+    passage = plain(9600, 18)
+    texts[103] = " ".join(passage + plain(9700, 64) + passage)
+    got = {r.doc_id: r for r in rules.judged(spark.createDataFrame([(d, t, "en", "a") for d, t in texts.items()], "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[100].n_symbols, got[101].word_chars, got[102].n_dup_lines, got[103].n_repeat_words) == (7, 580, 7, 36)
+    assert got[102].n_repeat_words == 0 and not any(r.base_failed for r in got.values())
+    assert {d for d, r in got.items() if not r.kept} == {100, 101, 102, 103}
+
+
 def test_simhash(docs, none):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     fps = {r[0]: simhash.fingerprint(r[1] or "") for r in ROWS}
