@@ -22,8 +22,8 @@ from .common import cut, prepare
 BLANK, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: The base rules: fewest words, and percent of the words that may lie in repeated 3-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Part of a group that the estimate rests on, steps, and documents below which a group is judged by all small groups' estimate.
-CORE, STEPS, SMALL = 0.75, 4, 30
+#: Part of a group that the estimate rests on, steps, and documents below which a group is judged by its language's estimate: fewer have no core of more than D + 2.
+CORE, STEPS, SMALL = 0.75, 4, 10
 #: Standard deviations that are added (squared) to each transformed statistic's. Most groups' core is at exactly zero in three of the four, so
 #: a floor must let one symbol, repeated line or repeated window in the shortest document (0.18, 0.18, 0.12) be within two of them.
 FLOORS = (0.1, 0.15, 0.1, 0.06)
@@ -102,7 +102,9 @@ def _estimates(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in pdf.itertuples(index=False):
             mean = np.array(r.first, float) / r.n
             square = np.array(r.second, float).reshape(D, D) / r.n
-            cov = CONSISTENCY * (square - np.outer(mean, mean)) + np.diag(np.square(FLOORS))
+            # what a core of few rows leaves uncertain: expected squared distance of a further row, over that of many rows
+            few = (r.n * r.n - 1) / (r.n * max(r.n - D - 2, 1))
+            cov = few * CONSISTENCY * (square - np.outer(mean, mean)) + np.diag(np.square(FLOORS))
             rows.append((r.g, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
         yield pd.DataFrame(rows, columns=["g", "centre", "inverse"])
 
@@ -148,18 +150,25 @@ def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """doc_id, the statistics, base_failed, distance (squared; null where the base rules failed), kept.
 
     The base rules reject fewer than LEAST_WORDS words, or more than MOST_REPEATED percent of them in repeated windows; the estimates rest on
-    the other documents. Null languages and sources are groups like others; groups of fewer than SMALL documents are judged together; a
-    null text has no words; repeated rows count and return as often as they come; a very long text is one row like others; an
+    the other documents. Null languages and sources are groups like others; a group of fewer than SMALL documents is judged by the estimate of all
+    documents of its language, however few, never with another language's; a null text has no words; repeated rows count and return as often as they come; a very long text is one row like others; an
     empty table gives an empty result; other columns are ignored."""
     rows = document_statistics(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    tongue = F.concat(F.lit("\x02"), F.coalesce("lang", F.lit("\x00")))
     name = F.concat(F.coalesce("lang", F.lit("\x00")), F.lit("\x01"), F.coalesce("source", F.lit("\x00")))
-    rows = cut(rows.withColumn("base_failed", failed).withColumn("name", name).withColumns({f"y{i}": c for i, c in enumerate(transformed())}))
+    rows = cut(rows.withColumn("base_failed", failed).withColumn("name", name).withColumn("tongue", tongue).withColumns({f"y{i}": c for i, c in enumerate(transformed())}))
     large = rows.where("not base_failed").groupBy("name").count().where(F.col("count") >= SMALL).select(F.col("name").alias("__name"))
-    # the group's own name, or the one of all small groups
-    vectors = cut(rows.where("not base_failed").join(large, F.col("name") == F.col("__name"), "left").select("doc_id", *_NAMES, F.coalesce("__name", F.lit("")).alias("g"), *[f"y{i}" for i in range(D)]))
+    # the group's own name, or its language's
+    vectors = rows.where("not base_failed").join(large, F.col("name") == F.col("__name"), "left")
+    vectors = cut(vectors.select("doc_id", *_NAMES, "tongue", F.coalesce("__name", "tongue").alias("g"), *[f"y{i}" for i in range(D)]))
+    # a language's estimate rests on its large groups too, where it has small ones
+    y = [f"y{i}" for i in range(D)]
+    wanted = vectors.where("g = tongue").select("g").distinct()
+    whole = vectors.where("g != tongue").select(F.col("tongue").alias("g"), *y).join(wanted, "g", "left_semi")
+    estimates = robust_estimates(cut(vectors.select("g", *y).unionByName(whole)))
     limit = _chi2_quantile(tail, D)
-    far = _beside(vectors, robust_estimates(vectors)).withColumn("distance", _distance())
+    far = _beside(vectors, estimates).withColumn("distance", _distance())
     columns = ["doc_id", *_NAMES]
     passed = far.select(*columns, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= limit).alias("kept"))
     return passed.unionByName(rows.where("base_failed").select(*columns, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))

@@ -200,6 +200,16 @@ def test_rules_reject_a_lone_outlier_in_each_statistic(spark):
     assert {d for d, r in got.items() if not r.kept} == {100, 101, 102, 103}
 
 
+def test_rules_judge_small_groups_by_their_language(spark):
+    rows = [(i, 5, "en", "large") for i in range(100)] + [(100 + i, 5, "en", f"s{i // 5}") for i in range(100)]
+    rows += [(300 + i, 7, "de", f"s{i // 5}") for i in range(30)] + [(400, 5, "de", "s0")]  # the mean of another language
+    rows += [(500 + i, 8, "en", "of 29") for i in range(29)] + [(600, 7, "fr", "alone"), (601, 9, None, None)]
+    rows = [(d, " ".join(plain(200 * k, 100, w)), lang, source) for k, (d, w, lang, source) in enumerate(rows)]
+    got = rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {400}
+
+
 def test_simhash(docs, none):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     fps = {r[0]: simhash.fingerprint(r[1] or "") for r in ROWS}
