@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare
@@ -28,6 +28,8 @@ SHINGLE, SEED, BITS = 3, 42, 3
 #: Rows in a part of a bucket, about; children of a node.
 PART, FAN = 512, 16
 NO_ID = -(1 << 63)
+#: Names of a row's key.
+ROW = ("doc_id", "h1", "h2")
 
 
 def fingerprint(text: str) -> int:
@@ -47,16 +49,22 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _row_key() -> list[Column]:
+    """What tells rows apart that differ in doc_id or text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long)."""
+    """doc_id (null: NO_ID), h1 and h2 (128 bits of a hash of the text), fp (the fingerprint's bits as a long)."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ROW), pa.array(fps.view(np.int64))], [*ROW, "fp"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    keys = [c.alias(n) for c, n in zip(_row_key(), ROW, strict=True)]
+    return docs.select(*keys, "text").mapInArrow(run, "doc_id long, h1 long, h2 long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -148,7 +156,8 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = pdf[["band", "value", "low", "high"]].to_numpy()
     cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
     edges = [0, *cuts.tolist(), len(keys)]
-    fps, ids, part = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["part"].to_numpy()
+    ids, part = pdf["fp"].to_numpy(), pdf["part"].to_numpy()
+    fps = ids.view(np.uint64)
     names, roots = [], []
     for i, j in zip(edges, edges[1:], strict=False):
         if j - i < 2:
@@ -196,35 +205,42 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id that links of at most ``BITS`` differing bits reach).
-
-    A null text is an empty one, with fingerprint 0; a null doc_id counts as the smallest; repeated rows share a fingerprint and so a component; an
-    empty table gives an empty result; other columns are ignored."""
-    spark = docs.sparkSession
-    own = cut(fingerprints(docs))
-    kinds = cut(own.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    # rows with one doc_id may have several fingerprints; those are linked by that doc_id
+def _rooted(own: DataFrame, first: Column) -> DataFrame:
+    """fp, first (the smallest one of its rows), root (smallest fingerprint of its component), of every fingerprint in own."""
+    spark = own.sparkSession
+    kinds = cut(own.groupBy("fp").agg(F.min(first).alias("first")))
     n = kinds.count()
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(_masks(n))])
-    rows = kinds.select("fp", "id", F.explode(bands).alias("b")).select("b.band", "b.value", "fp", "id")
+    rows = kinds.select("fp", F.explode(bands).alias("b")).select("b.band", "b.value", "fp")
     size = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(size, ["band", "value"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("band", "value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp", "id")
+    rows = rows.select("band", "value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000) * 4
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("band", "value", "low", "high"), F.lit(shards)).cast("int"))
-    edges = rows.groupBy("shard").applyInPandas(_linked, "u long, v long")
-    roots = components(edges)
-    named = kinds.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    roots = components(rows.groupBy("shard").applyInPandas(_linked, "u long, v long")).select(F.col("id").alias("fp"), "root")
+    return cut(kinds.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id that links of at most ``BITS`` differing bits reach).
+
+    Only fingerprints link: rows with the same doc_id, or without one, are in one component only if their fingerprints are. Components whose smallest
+    doc_id is the same bear the same component_id. A null text is an empty one, with fingerprint 0; a null doc_id counts as the smallest; an
+    empty table gives an empty result; other columns are ignored."""
+    own = cut(fingerprints(docs).select("doc_id", "fp"))
+    rooted = _rooted(own, F.col("doc_id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     out = own.join(named, "fp")
     known = F.col("doc_id") != NO_ID
     return out.select(F.when(known, F.col("doc_id")).alias("doc_id"), "fp", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns: of each component the document with its component_id, once."""
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    one = Window.partitionBy("__doc").orderBy(F.xxhash64("text"), "text")
-    rows = docs.withColumn("__doc", F.col("doc_id").cast("long")).join(keep, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    """Rows of ``docs``, all columns: one of each component, with its smallest doc_id (null first), and of those the first by a hash of the text."""
+    rooted = _rooted(cut(fingerprints(docs)), F.struct(*ROW))
+    keys = [f"__{n}" for n in ROW]
+    keep = rooted.groupBy("root").agg(F.min("first").alias("k")).select(*[F.col(f"k.{n}").alias(k) for n, k in zip(ROW, keys, strict=True)])
+    # repeated rows have one key: one of them stays, before anything of them moves
+    rows = docs.withColumns(dict(zip(keys, _row_key(), strict=True))).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__h1"))).where("__n = 1")
+    return rows.join(keep, keys, "left_semi").select(*docs.columns)

@@ -220,6 +220,19 @@ def test_simhash(docs, none):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "4", "5", "6", "8", "None"]
 
 
+def test_simhash_links_by_fingerprint_only(spark):
+    texts = [" ".join(plain(1000 * i)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (5, texts[3]), (8, texts[4]), (None, texts[4]), (9, texts[5])]
+    fps = {simhash.fingerprint(t) for t in texts}
+    assert min((a ^ b).bit_count() for a in fps for b in fps if a != b) > 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.fp, str(r.component_id)) for r in simhash.near_duplicates(d).collect())
+    root = {texts[0]: None, texts[1]: None, texts[2]: 7, texts[3]: 5, texts[4]: None, texts[5]: 9}
+    assert got == sorted((str(i), int(np.uint64(simhash.fingerprint(t)).view(np.int64)), str(root[t])) for i, t in rows)
+    kept = sorted((texts.index(r.text), r.doc_id) for r in simhash.one_of_each(d).collect())
+    assert kept == [(0, None), (1, None), (2, 7), (3, 5), (4, None), (5, 9)]
+
+
 @pytest.mark.parametrize("n", [3, 40, 900])
 def test_gray_index_links_all(n):
     rng = np.random.default_rng(n)
