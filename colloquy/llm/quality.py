@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes support vectors.
 
 The features are indicators of n-grams over a text's character classes (runs are one symbol, so words are shapes), of
-n-grams that are frequent, and of words that repeat the word before them. Each is scaled by the log ratio of its smoothed counts in the two
+n-grams that are frequent, of words that repeat the word before them, and of the lower-cased text's words, word pairs and
+character trigrams, of all scripts. Each is scaled by the log ratio of its smoothed counts in the two
 classes; on these a linear hinge-loss model is fitted by dual coordinate descent. A held-out part of the
 training rows turns margins into probabilities.
 """
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ from .common import prepare
 
 #: Labelled rows that a fit takes at most, in order of a hash: enough for some hundred thousand weights.
 SAMPLE = 12_000
-#: Orders of n-grams, hash space of each, and the rates from which a frequent n-gram has a further indicator.
-ORDERS, SPACE, RATES = 4, 1 << 14, (1 / 64, 1 / 16, 1 / 6, 1 / 3)
-WIDTH = SPACE * (1 + len(RATES)) + 8
+#: Orders of shape n-grams, their hash space, and the rates from which a frequent n-gram has a further indicator.
+ORDERS, SPACE, RATES = 4, 1 << 16, (1 / 64, 1 / 16, 1 / 6, 1 / 3)
+#: Hash space of words, word pairs and character trigrams, and where it begins.
+WORDS, SHAPES = 1 << 19, SPACE * (1 + len(RATES)) + 8
+WIDTH = SHAPES + WORDS
 #: Smoothing of counts; bound of the dual variables; passes; every how many-th training row calibrates.
 ALPHA, C, PASSES, CALIBRATES = 1.0, 1.0, 15, 5
 CUT = 0.7
@@ -44,17 +48,33 @@ _TABLE = _classes()
 
 
 def features(text: str) -> np.ndarray:
-    """Distinct feature numbers below WIDTH, in order; none for a text without words."""
-    data = text.encode()
+    """Distinct feature numbers below WIDTH, in order; none for an empty text."""
+    return np.concatenate([_shapes(text.encode()), _wordings(text)]).astype(np.int32)
+
+
+def _wordings(text: str) -> np.ndarray:
+    """Of the words, word pairs and character trigrams of the whole lower-cased text; spaces are alike, and stand at both ends."""
+    words = text.lower().encode("utf-8", "replace").split()
+    if not words:
+        return np.zeros(0, np.int64)
+    prime, mix = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    c = np.frombuffer((b" " + b" ".join(words) + b" ").decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    t = ((c[:-2] * prime ^ c[1:-1]) * mix * prime ^ c[2:]) * mix
+    keys = np.concatenate([h, (h[:-1] * prime ^ h[1:]) * mix, t]) >> np.uint64(45)
+    return np.unique(keys).astype(np.int64) + SHAPES
+
+
+def _shapes(data: bytes) -> np.ndarray:
     x = _TABLE[np.frombuffer(data, np.uint8)]
     x = x[x > 0]
     if not len(x):
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     x = x[np.concatenate(([True], x[1:] != x[:-1]))].astype(np.uint64)
     grams, h = [], np.zeros(len(x), np.uint64)
     for k in range(min(ORDERS, len(x))):
         h = (h[: len(x) - k] * np.uint64(0x100000001B3) ^ x[k:]) * np.uint64(0x9E3779B97F4A7C15)
-        grams.append(h >> np.uint64(50))
+        grams.append(h >> np.uint64(48))
     count = np.bincount(np.concatenate(grams).astype(np.int64), minlength=SPACE)
     found = np.flatnonzero(count)
     rate = count[found] / len(x)
@@ -62,7 +82,7 @@ def features(text: str) -> np.ndarray:
     words = data.split()
     again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words))
     out.append(np.array([SPACE * (1 + len(RATES)) + i for i, r in enumerate(RATES) if again >= r], np.int64))
-    return np.concatenate(out).astype(np.int32)
+    return np.concatenate(out)
 
 
 @dataclass(frozen=True)
@@ -80,6 +100,9 @@ class Model:
         margin = (float(self.products[found].sum()) / norm if norm else 0.0) + self.bias
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
+    def __reduce__(self) -> tuple:
+        return Model, (self.weights, self.ratios, self.bias, self.slope, self.shift)
+
     def __post_init__(self) -> None:
         object.__setattr__(self, "products", self.weights * self.ratios)
         object.__setattr__(self, "squares", np.square(self.ratios))
@@ -102,24 +125,26 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         counts[y[i]][rows[i]] += 1
     ratios = np.log((counts[1.0] / counts[1.0].sum()) / (counts[-1.0] / counts[-1.0].sum()))
     w, bias, dual = np.zeros(WIDTH), 0.0, np.zeros(n)
-    x = [(v := ratios[r]) / (np.sqrt(np.square(v).sum()) or 1.0) for r in rows]
-    size = np.array([np.square(v).sum() + 1 for v in x])  # the bias is a feature that all have
+    # rows' values are taken from the ratios when needed: kept for all rows they would take twice the features' memory
+    norm = np.array([np.sqrt(np.square(ratios[r]).sum()) or 1.0 for r in rows])
+    size = np.array([np.square(ratios[r] / d).sum() + 1 for r, d in zip(rows, norm, strict=True)])  # the bias is a feature that all have
     most = {1.0: C, -1.0: C * max(1.0, (y[use] > 0).sum() / (y[use] < 0).sum()) ** 0.5}
     rng = np.random.default_rng(1)
     for _ in range(PASSES):
         worst = 0.0
         for i in rng.permutation(use):
-            gradient = y[i] * (w[rows[i]] @ x[i] + bias) - 1
+            x = ratios[rows[i]] / norm[i]
+            gradient = y[i] * (w[rows[i]] @ x + bias) - 1
             new = min(max(dual[i] - gradient / size[i], 0.0), most[y[i]])
             step = (new - dual[i]) * y[i]
             if step:
-                w[rows[i]] += step * x[i]
+                w[rows[i]] += step * x
                 bias += step
                 dual[i] = new
                 worst = max(worst, abs(step))
         if worst < 1e-3:
             break
-    margins = np.array([w[r] @ v + bias for r, v in zip(rows, x, strict=True)])
+    margins = np.array([w[r] @ ratios[r] / d + bias for r, d in zip(rows, norm, strict=True)])
     on = held if held.any() else np.ones(n, bool)
     m, t = margins[on], labels[on].astype(float)
     good, bad = t.sum(), len(t) - t.sum()

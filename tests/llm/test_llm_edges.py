@@ -157,6 +157,23 @@ def test_quality(spark, docs, none):
     assert all(h == (d is not None and zlib.crc32(str(d).encode()) % 4 == 2) for d, h in held.items())
 
 
+@pytest.mark.parametrize("kind", ["han", "cyrillic", "salad"])
+def test_quality_tells_texts_of_one_shape_apart(kind):
+    rng = np.random.default_rng(5)
+
+    def text(good):
+        if kind == "salad":
+            sentence = "the old cat sat near one big mat and the red dog ran off".split()
+            return " ".join(sentence * 4 if good else rng.permutation(sentence * 4))
+        first = (0x4E00 if kind == "han" else 0x430) + (0 if good else 16)
+        words = ["".join(chr(first + k) for k in rng.integers(0, 16, 5)) for _ in range(40)]
+        return ("" if kind == "han" else " ").join(words)
+
+    labels = np.arange(120) % 2
+    model = quality.fit_rows([quality.features(text(q)) for q in labels], labels)
+    assert all((model.score(quality.features(text(q))) >= quality.CUT) == q for q in (True, False) * 20)
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS)
