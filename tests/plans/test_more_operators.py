@@ -113,3 +113,14 @@ def test_published_items_with_an_unknown_candidate(spark):
     known = spark.createDataFrame([("x", "Do it", ["a"], [5])], "id string, quote string, topics array<string>, durations array<long>")
     items = spark.createDataFrame([("i", "x", "do  it", ["a"], []), ("j", "y", "do it", ["b"], [9])], "item string, id string, text string, topics array<string>, minutes array<long>")
     assert {r.item: r.reasons for r in ledger.published_errors(items, known).collect()} == {"i": [], "j": ["candidate_unknown"]}
+
+
+def test_conditional_cues_of_whole_texts(spark):
+    from colloquy.plans.text_queries import conditional_cues
+
+    far = "x" * 200 + ". If it rains we will stay. They shall go. "
+    text = far + "if " + "y" * 100 + " must"
+    rows = [(0, 0, text), (0, 1, "will"), (0, 2, ""), (0, 3, None), (0, 4, "If goodwill counts, you must")]
+    got = {(r.ord, r.cue_at, r.conditional) for r in conditional_cues(spark.createDataFrame(rows, "rec long, ord long, text string")).collect()}
+    at = lambda w, t=text: t.index(w) + 1
+    assert got == {(0, at("will"), True), (0, at("shall"), False), (0, at("must"), False), (1, 1, False), (4, at("must", rows[4][2]), True)}
