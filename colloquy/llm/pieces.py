@@ -24,8 +24,9 @@ class Pieces:
     """encode: strings → all their ids (unsigned 32-bit) and how many each has. With ``True`` each string is a piece, which begins with a space and has no
     other; with ``False`` they are any texts."""
 
-    def __init__(self, encode: Callable[[list[str], bool], Coded], remembered: int = REMEMBERED):
-        self.encode, self.remembered = encode, remembered
+    def __init__(self, encode: Callable[[list[str], bool], Coded], remembered: int = REMEMBERED, whole: list[str] = ()):
+        """whole: strings that may cross pieces; texts that hold one are encoded as they are."""
+        self.encode, self.remembered, self.whole = encode, remembered, whole
         self.known = pa.array([], pa.large_string())
         self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -56,9 +57,13 @@ class Pieces:
         number[places[:-1]] = n_known + n_new + np.arange(len(heads))
         whole = np.zeros(0, np.int64)
         whole_ids, whole_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if odd.any():  # such texts in one go
+        as_is = np.zeros(len(texts), bool)
+        for token in self.whole:
+            as_is |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if odd.any() or as_is.any():  # such texts in one go
             text_of = np.repeat(np.arange(len(texts)), np.diff(places))
-            whole = np.unique(text_of[number < 0])
+            as_is[text_of[number < 0]] = True
+            whole = np.flatnonzero(as_is)
         if len(whole):
             whole_ids, whole_sizes = self.encode(texts.take(pa.array(whole)).to_pylist(), False)
             number[np.isin(text_of, whole)] = n_known + n_new + len(heads) + len(whole)

@@ -6,14 +6,16 @@ It is one row of a Parquet table (so that committing, retries and any store are
     part, shard      place in the order of all shards
     n_docs, n_tokens
     docs             doc_ids, 8 bytes each, and their token counts, 8 bytes each, little-endian
-    data             the bit-planes (see :class:`wavelet.WaveletMatrix`), which give access, counts and occurrences of a token
+    data             the bit-planes with their rank and select directories (see :class:`wavelet.WaveletMatrix`)
+
+:func:`tokens_at`, :func:`token_counts` and :func:`token_occurrences` answer from the files without undoing the planes.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,7 @@ def encoder(vocabulary: str) -> Pieces:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         first = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
 
         def encode(texts: list[str], spaced: bool) -> Coded:
@@ -55,7 +56,8 @@ def encoder(vocabulary: str) -> Pieces:
             ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]])
             return ids, np.diff(np.flatnonzero(first[ids]), append=len(ids))
 
-        _loaded[vocabulary] = Pieces(encode)
+        # texts that hold an added token go to the library whole
+        _loaded[vocabulary] = Pieces(encode, whole=added)
     return _loaded[vocabulary]
 
 
@@ -105,16 +107,23 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, shard_tokens: int
     docs.mapInArrow(_shards(vocabulary, shard_tokens), _SHARD).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, **derived: Column) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (binary, little-endian unsigned 32-bit, with END).
-
-    derived: columns to return instead of ids; what they are made of need not move."""
+def _placed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The shards, and part, shard, n_tokens, base (tokens of all shards before it) of each."""
     shards = spark.read.schema(_SHARD).parquet(path)
     # places of shards from their counts: by part, then inside it
     sizes = shards.select("part", "shard", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
-    starts = sizes.select("part", "shard", inside.alias("shard_start")).join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("base"))
+    starts = sizes.select("part", "shard", "n_tokens", inside.alias("shard_start")).join(parts, "part")
+    return shards, starts.select("part", "shard", "n_tokens", (F.col("part_start") + F.col("shard_start")).alias("base"))
+
+
+def read_tokens(spark: SparkSession, path: str, **derived: Column) -> DataFrame:
+    """doc_id, start (ids of all documents before it), ids (binary, little-endian unsigned 32-bit, with END).
+
+    derived: columns to return instead of ids; what they are made of need not move."""
+    shards, starts = _placed(spark, path)
+    starts = starts.drop("n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +142,56 @@ def read_tokens(spark: SparkSession, path: str, **derived: Column) -> DataFrame:
     return found.withColumn("doc_id", F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id")))
 
 
+def _answers(shards: DataFrame, columns: str, answer: Callable[[dict, WaveletMatrix], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Rows of ``answer`` for each shard, in columns of longs."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in answer(row, WaveletMatrix.from_bytes(row["data"]))], names)
+
+    return shards.mapInArrow(run, columns)
+
+
+def token_counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of the given tokens occurs in the files of ``path``, by rank."""
+    given = spark.createDataFrame([(int(t),) for t in sorted(set(tokens))], "token long")
+    counts = _answers(spark.read.schema(_SHARD).parquet(path).select("data"), "token long, n long", lambda _, w: (sorted(set(tokens)), w.rank(np.array(sorted(set(tokens)), np.int64), w.n)))
+    return given.join(counts.groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def token_occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """doc_id, at (place in the document) of every occurrence of a token, by select."""
+
+    def answer(row: dict, w: WaveletMatrix) -> tuple[np.ndarray, np.ndarray]:
+        names, counts = np.frombuffer(row["docs"], np.int64).reshape(2, -1)
+        at, first = w.occurrences(token), np.cumsum(counts) - counts
+        doc = np.searchsorted(first, at, side="right") - 1
+        return names[doc], at - first[doc]
+
+    found = _answers(spark.read.schema(_SHARD).parquet(path).select("docs", "data"), "doc_id long, at long", answer)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id")))
+
+
+def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """position, token of each distinct position (counted over all shards in order) in ``wanted``; those beyond the end and nulls are left out."""
+    shards, starts = _placed(spark, path)
+    # both sides go by stretches of positions; a shard is in all it reaches
+    stretch = F.lit(SHARD_TOKENS).cast("long")
+    reach = F.sequence(F.floor(F.col("base") / stretch), F.floor((F.col("base") + F.greatest("n_tokens", F.lit(1)) - 1) / stretch))
+    spread = starts.select("part", "shard", "base", "n_tokens", F.explode(reach).alias("stretch"))
+    asked = wanted.where("position >= 0").select(F.col("position").cast("long").alias("position")).distinct().withColumn("stretch", F.floor(F.col("position") / stretch))
+    asked = asked.join(spread, "stretch").where((F.col("position") >= F.col("base")) & (F.col("position") < F.col("base") + F.col("n_tokens")))
+    asked = asked.groupBy("part", "shard", "base", "stretch").agg(F.collect_list("position").alias("positions"))  # no more than a stretch
+
+    def answer(row: dict, w: WaveletMatrix) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array(row["positions"], np.int64)
+        return at, w.access(at - row["base"])
+
+    return _answers(shards.select("part", "shard", "data").join(asked, ["part", "shard"]).select("base", "positions", "data"), "position long, token long", answer)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
     prepare(spark)
