@@ -1,9 +1,11 @@
 """Substring removal by suffix arrays and their common-prefix interval trees.
 
-The shards of :mod:`repeats` hold segments whose 100-byte windows share an anchor. Their window starts are sorted into a
-suffix array (each suffix ends with its segment), the common prefixes of neighbours make it an enhanced one, and one
-scan with a stack walks the tree of common-prefix intervals. An interval whose members have different bytes before
-them can't be extended to the left: with its depth it is a maximal repeat, given with all its occurrences.
+The shards of :mod:`repeats` hold segments whose 100-byte windows share an anchor, each different one once, with all its
+occurrences. Their window starts are sorted into a suffix array (each suffix ends with its segment), the common prefixes of
+neighbours make it an enhanced one, and one scan with a stack walks the tree of common-prefix intervals. An interval whose
+members have different bytes before them can't be extended to the left: with its depth it is a maximal repeat group, and a
+segment with several occurrences is one from end to end. :func:`repeat_groups` returns the groups with all occurrences;
+what :func:`remove_substrings` removes follows from them.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import HOT, Batch, Kind, without_repeats
+from .repeats import CROWD, Batch, Kind, Matches, matches, without_repeats
 
 #: Length in bytes of the strings that may not repeat, and of the hashed strings that deal them out.
 LENGTH, GRAM = 100, 24
@@ -59,21 +61,14 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[t
         last = i
 
 
-def resolve(pieces: list[bytes], rank: np.ndarray, window: int = LENGTH) -> list[tuple[int, int, int]]:
-    order, piece, offset, lcp, left = suffix_array(pieces, window)
-    when = rank[piece] * (1 << 32) + offset
-    length = np.zeros(len(piece), np.int64)
-    for i, j, depth in maximal_repeats(lcp, left, window):
-        if j == i + 1:
-            k = i if when[i] > when[j] else j
-            length[k] = max(length[k], depth)
-        else:
-            first = i + int(when[i : j + 1].argmin())
-            old = length[first]
-            np.maximum(length[i : j + 1], depth, out=length[i : j + 1])
-            length[first] = old
-    hit = np.flatnonzero(length)
-    return list(zip(piece[hit].tolist(), offset[hit].tolist(), length[hit].tolist(), strict=True))
+def groups(pieces: list[bytes], window: int = LENGTH) -> Matches:
+    """The maximal repeats of at least ``window`` bytes among different pieces, with all their places."""
+    _, piece, offset, lcp, left = suffix_array(pieces, window)
+    found = np.array(list(maximal_repeats(lcp, left, window)), np.int64).reshape(-1, 3)
+    count = found[:, 1] - found[:, 0] + 1
+    group = np.repeat(np.arange(len(found)), count)
+    at = np.arange(len(group)) - (np.cumsum(count) - count)[group] + found[group, 0]
+    return group, piece[at], offset[at], found[group, 2]
 
 
 def _read(texts: list[str]) -> tuple[np.ndarray, bytes, np.ndarray]:
@@ -88,12 +83,20 @@ def _kept(x: Batch, k: int, mask: np.ndarray) -> bytes:
 
 
 def byte_kind(length: int = LENGTH, gram: int = GRAM) -> Kind:
-    return Kind(length, gram, _read, lambda data, i, j: data[i:j], len, lambda pieces, rank: resolve(pieces, rank, length))
+    return Kind(length, gram, _read, lambda data, i, j: data[i:j], len, lambda pieces: groups(pieces, length), 1500)
 
 
-def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """shard, match, length, doc_id, start: every occurrence (in bytes) of each maximal repeat of at least ``length`` bytes, a row each.
+
+    A repeat is maximal inside a segment; a longer one comes as groups that overlap. Anchors with more than ``CROWD`` different
+    segments give no groups (their repeats are removed all the same). Edge cases as in :mod:`repeats`."""
+    return matches(docs, byte_kind(length, gram))
+
+
+def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts earlier; strings are judged on the input.
 
-    Returns doc_id, n (bytes), kept (the remaining bytes), spans (start and end of each maximal removed run). Edge
-    cases as in :mod:`repeats`."""
-    return without_repeats(docs, byte_kind(length, gram), _kept, hot)
+    Returns doc_id, n (bytes), kept (the remaining bytes), spans (start and end of each maximal removed run), indexed (bytes whose
+    removal the suffix arrays told). Edge cases as in :mod:`repeats`."""
+    return without_repeats(docs, byte_kind(length, gram), _kept, crowd)
