@@ -1,9 +1,14 @@
 """Quality rules and robust multivariate outliers.
 
 Four statistics of each document, transformed to a vector, are judged against its language and source: a document is rejected
-when its Mahalanobis distance, by the minimum-covariance-determinant estimate of its group, is beyond a chi-square
-quantile. The estimate is refined in concentration steps over all documents of all groups at once, with sums by group
-only: distances, the three quarters of a group with the smallest ones (by a histogram of distances), their mean and covariance.
+when its Mahalanobis distance, by the minimum-covariance-determinant estimate of its group, is beyond a chi-square quantile.
+
+The estimate is the mean and covariance of the three quarters of a group whose covariance has the smallest determinant. Many
+starts, each from D + 1 rows of a bounded number of the group's vectors, go through concentration steps on these; the ``BEST``
+of them then go through concentration steps over all documents, for all groups at once and with sums by group only (the rows
+with the smallest distances, by a histogram of distances, give the next mean and covariance), until no determinant falls. The
+one with the smallest determinant is the group's. A group's estimate is drawn towards its language's by ``DRAWN`` rows' weight,
+so a small group rests mostly on its language, a large one on itself, and none is switched from one to the other.
 """
 
 from __future__ import annotations
@@ -22,8 +27,12 @@ from .common import cut, prepare
 BLANK, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: The base rules: fewest words, and percent of the words that may lie in repeated 3-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Part of a group that the estimate rests on, steps, and documents below which a group is judged by its language's estimate: fewer have no core of more than D + 2.
-CORE, STEPS, SMALL = 0.75, 4, 10
+#: Part of a group that the estimate rests on; starts, and the vectors of a group that they see; starts that go on over all rows.
+CORE, STARTS, SEEN, BEST = 0.75, 24, 1000, 2
+#: Rows of its language that stand beside a group's own.
+DRAWN = 20
+#: A determinant has stopped falling when it falls by less than this part.
+STILL = 1e-3
 #: Standard deviations that are added (squared) to each transformed statistic's. Most groups' core is at exactly zero in three of the four, so
 #: a floor must let one symbol, repeated line or repeated window in the shortest document (0.18, 0.18, 0.12) be within two of them.
 FLOORS = (0.1, 0.15, 0.1, 0.06)
@@ -95,17 +104,76 @@ def _chi2_quantile(tail: float, even: int) -> float:
 CONSISTENCY = CORE / _chi2_cdf(_chi2_quantile(1 - CORE, D), D + 2)
 
 
+def shape(n: float, mean: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, float]:
+    """Covariance of n core rows with the floors, from their means and mean products; and its log determinant."""
+    # what a core of few rows leaves uncertain: expected squared distance of a further row, over that of many rows
+    few = (n * n - 1) / (n * max(n - D - 2, 1))
+    cov = few * CONSISTENCY * (square - np.outer(mean, mean)) + np.diag(np.square(FLOORS))
+    return cov, float(np.linalg.slogdet(cov)[1])
+
+
+def _core(x: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, covariance and log determinant of the CORE part of x with the smallest values of ``far``, ties in order."""
+    h = max(1, math.ceil(CORE * len(x)))
+    own = x[np.argsort(far, kind="stable")[:h]]
+    mean = own.mean(0)
+    return mean, *shape(h, mean, own.T @ own / h)
+
+
+def concentrated(x: np.ndarray, starts: np.ndarray, best: int = BEST) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(log determinant, centre, covariance) of the ``best`` distinct ends, from the least on. starts: rows of x, one start each."""
+    ends: dict[tuple, tuple[float, np.ndarray, np.ndarray]] = {}
+    for rows in starts:
+        own = x[rows]
+        centre = own.mean(0)
+        cov = np.cov(own.T, bias=True) + np.diag(np.square(FLOORS)) if len(own) > 1 else np.diag(np.square(FLOORS))
+        least = math.inf
+        while True:
+            off = x - centre
+            new_centre, new_cov, det = _core(x, np.einsum("ni,ij,nj->n", off, np.linalg.inv(cov), off))
+            if det >= least - STILL:
+                break
+            centre, cov, least = new_centre, new_cov, det
+        ends.setdefault((round(least, 6), *np.round(centre, 6)), (least, centre, cov))
+    return [ends[k] for k in sorted(ends)[:best]]
+
+
+def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The best starts of one group, from its seen vectors."""
+    x = np.array(pdf.sort_values(["turn", *[f"y{i}" for i in range(D)]])[[f"y{i}" for i in range(D)]], float)
+    rng = np.random.default_rng(0)
+    some = [rng.choice(len(x), min(D + 1, len(x)), replace=False) for _ in range(STARTS)]
+    middle = np.argsort(np.abs(x - np.median(x, 0)).sum(1), kind="stable")[: max(1, len(x) // 2)]
+    found = concentrated(x, [middle, *some])
+    rows = [(pdf["g"].iloc[0], s, centre.tolist(), np.linalg.inv(cov).ravel().tolist(), det) for s, (det, centre, cov) in enumerate(found)]
+    return pd.DataFrame(rows, columns=["g", "s", "centre", "inverse", "det"])
+
+
+_ESTIMATE = "g string, s int, centre array<double>, inverse array<double>, det double"
+
+
 def _estimates(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums by group → centre and inverse covariance."""
+    """Sums by group and start → centre, inverse covariance, log determinant."""
     for pdf in pdfs:
         rows = []
         for r in pdf.itertuples(index=False):
             mean = np.array(r.first, float) / r.n
-            square = np.array(r.second, float).reshape(D, D) / r.n
-            # what a core of few rows leaves uncertain: expected squared distance of a further row, over that of many rows
-            few = (r.n * r.n - 1) / (r.n * max(r.n - D - 2, 1))
-            cov = few * CONSISTENCY * (square - np.outer(mean, mean)) + np.diag(np.square(FLOORS))
-            rows.append((r.g, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
+            cov, det = shape(r.n, mean, np.array(r.second, float).reshape(D, D) / r.n)
+            rows.append((r.g, r.s, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), det))
+        yield pd.DataFrame(rows, columns=["g", "s", "centre", "inverse", "det"])
+
+
+def _drawn(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each group's estimate, drawn towards its language's by DRAWN rows."""
+    for pdf in pdfs:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            part = r.n / (r.n + DRAWN)
+            own, theirs = np.array(r.centre, float), np.array(r.their_centre, float)
+            cov, their_cov = (np.linalg.inv(np.array(v, float).reshape(D, D)) for v in (r.inverse, r.their_inverse))
+            # of the two together: where they lie apart, the drawn one is as wide as that
+            cov = part * cov + (1 - part) * their_cov + part * (1 - part) * np.outer(own - theirs, own - theirs)
+            rows.append((r.g, (part * own + (1 - part) * theirs).tolist(), np.linalg.inv((cov + cov.T) / 2).ravel().tolist()))
         yield pd.DataFrame(rows, columns=["g", "centre", "inverse"])
 
 
@@ -127,48 +195,57 @@ def _quantile_bin(bins: DataFrame, part: float, *by: str) -> DataFrame:
     return bins.where(F.col("up") >= F.col("all") * part).groupBy(*by).agg(F.min("bin").alias("edge"))
 
 
-def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """g, centre, inverse. rows: g, y0 ... of every document."""
-    start = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"y{i}") * 64) for i in range(D)])).alias("i", "bin")).groupBy("g", "i", "bin").agg(F.count("*").alias("n"))
-    start = _quantile_bin(start, 0.5, "g", "i")
-    at = F.transform(F.array_sort(F.collect_list(F.struct("i", "edge"))), lambda x: (x["edge"] + 0.5) / 64)
-    fixed = np.diag(1 / np.square(FLOORS)).ravel().tolist()
-    now = cut(start.groupBy("g").agg(at.alias("centre")).withColumn("inverse", F.array(*map(F.lit, fixed))))
-    for _ in range(steps):
-        far = _beside(rows, now).withColumn("bin", F.least(F.floor(F.log1p(_distance()) * 128), F.lit(100_000)))
-        far = far.select("g", "bin", *[f"y{i}" for i in range(D)])
+def robust_estimates(rows: DataFrame) -> DataFrame:
+    """g, centre, inverse, det. rows: g, y0 ... of every document."""
+    y = [f"y{i}" for i in range(D)]
+    # vectors are seen in order of a hash, equal ones by number: few of each group, none of its rows move otherwise
+    turn = F.xxhash64(*y, F.monotonically_increasing_id())
+    seen = rows.select("g", *y, turn.alias("turn")).withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy("turn", *y))).where(F.col("nth") <= SEEN)
+    now = cut(seen.groupBy("g").applyInPandas(_starts, _ESTIMATE))
+    done = None
+    while True:
+        far = _beside(rows, now.select("g", "s", "centre", "inverse")).withColumn("bin", F.least(F.floor(F.log1p(_distance()) * 128), F.lit(100_000)))
         # sums by bin, then of the bins that make the core: no row moves but as part of a sum
         sums = [F.sum(F.col(f"y{i}")).alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"q{i}{j}") for i in range(D) for j in range(i, D)]
-        bins = cut(far.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums))
-        core = bins.join(_quantile_bin(bins.select("g", "bin", "n"), CORE, "g"), "g").where(F.col("bin") <= F.col("edge"))
-        total = core.groupBy("g").agg(F.sum("n").alias("n"), F.array(*[F.sum(f"s{i}") for i in range(D)]).alias("first"), F.array(*[F.sum(f"q{min(i, j)}{max(i, j)}") for i in range(D) for j in range(D)]).alias("second"))
-        now = cut(total.select("g", "n", "first", "second").mapInPandas(_estimates, "g string, centre array<double>, inverse array<double>"))
-    return now
+        bins = cut(far.groupBy("g", "s", "bin").agg(F.count("*").alias("n"), *sums))
+        core = bins.join(_quantile_bin(bins.select("g", "s", "bin", "n"), CORE, "g", "s"), ["g", "s"]).where(F.col("bin") <= F.col("edge"))
+        total = core.groupBy("g", "s").agg(F.sum("n").alias("n"), F.array(*[F.sum(f"s{i}") for i in range(D)]).alias("first"), F.array(*[F.sum(f"q{min(i, j)}{max(i, j)}") for i in range(D) for j in range(D)]).alias("second"))
+        new = total.select("g", "s", "n", "first", "second").mapInPandas(_estimates, _ESTIMATE)
+        if done is None:  # the starts' determinants are of the seen rows only
+            now = cut(new.withColumn("falls", F.lit(True)))
+            done = now.where("false")
+        else:
+            old = now.select("g", "s", *[F.col(c).alias(f"old_{c}") for c in ("centre", "inverse", "det")])
+            both = new.join(old, ["g", "s"]).withColumn("falls", F.col("det") < F.col("old_det") - STILL)
+            now = cut(both.select("g", "s", *[F.when(F.col("falls"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in ("centre", "inverse", "det")], "falls"))
+            done = done.unionByName(now.where("not falls"))
+        now = now.where("falls")
+        if now.isEmpty():
+            break
+    return done.groupBy("g").agg(F.min_by(F.struct("centre", "inverse", "det"), F.struct("det", "s")).alias("e")).select("g", "e.*")
 
 
 def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """doc_id, the statistics, base_failed, distance (squared; null where the base rules failed), kept.
 
     The base rules reject fewer than LEAST_WORDS words, or more than MOST_REPEATED percent of them in repeated windows; the estimates rest on
-    the other documents. Null languages and sources are groups like others; a group of fewer than SMALL documents is judged by the estimate of all
-    documents of its language, however few, never with another language's; a null text has no words; repeated rows count and return as often as they come; a very long text is one row like others; an
-    empty table gives an empty result; other columns are ignored."""
+    the other documents. Null languages and sources are groups like others; every group has its own estimate, drawn towards that of all
+    documents of its language (never another's) the more, the fewer rows it has. A null text has no words; repeated rows count and
+    return as often as they come; a very long text is one row like others; an empty table gives an empty result; other columns are ignored."""
     rows = document_statistics(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     tongue = F.concat(F.lit("\x02"), F.coalesce("lang", F.lit("\x00")))
     name = F.concat(F.coalesce("lang", F.lit("\x00")), F.lit("\x01"), F.coalesce("source", F.lit("\x00")))
-    rows = cut(rows.withColumn("base_failed", failed).withColumn("name", name).withColumn("tongue", tongue).withColumns({f"y{i}": c for i, c in enumerate(transformed())}))
-    large = rows.where("not base_failed").groupBy("name").count().where(F.col("count") >= SMALL).select(F.col("name").alias("__name"))
-    # the group's own name, or its language's
-    vectors = rows.where("not base_failed").join(large, F.col("name") == F.col("__name"), "left")
-    vectors = cut(vectors.select("doc_id", *_NAMES, "tongue", F.coalesce("__name", "tongue").alias("g"), *[f"y{i}" for i in range(D)]))
-    # a language's estimate rests on its large groups too, where it has small ones
     y = [f"y{i}" for i in range(D)]
-    wanted = vectors.where("g = tongue").select("g").distinct()
-    whole = vectors.where("g != tongue").select(F.col("tongue").alias("g"), *y).join(wanted, "g", "left_semi")
-    estimates = robust_estimates(cut(vectors.select("g", *y).unionByName(whole)))
+    rows = cut(rows.withColumns({"base_failed": failed, "g": name, "tongue": tongue}).withColumns(dict(zip(y, transformed(), strict=True))).drop("lang", "source"))
+    vectors = rows.where("not base_failed")
+    estimates = robust_estimates(vectors.select("g", *y).unionByName(vectors.select(F.col("tongue").alias("g"), *y)))
+    estimates = cut(estimates.select("g", "centre", "inverse"))
+    groups = vectors.groupBy("g", "tongue").agg(F.count("*").alias("n")).join(estimates, "g")
+    theirs = estimates.select(F.col("g").alias("tongue"), F.col("centre").alias("their_centre"), F.col("inverse").alias("their_inverse"))
+    drawn = cut(groups.join(theirs, "tongue").drop("tongue").mapInPandas(_drawn, "g string, centre array<double>, inverse array<double>"))
     limit = _chi2_quantile(tail, D)
-    far = _beside(vectors, estimates).withColumn("distance", _distance())
+    far = _beside(vectors, drawn).withColumn("distance", _distance())
     columns = ["doc_id", *_NAMES]
     passed = far.select(*columns, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= limit).alias("kept"))
     return passed.unionByName(rows.where("base_failed").select(*columns, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
