@@ -1,12 +1,11 @@
 """SimHash near-duplicates over Gray-order hierarchical indexes.
 
 Equal fingerprints are one. Two that differ in at most three bits agree in all but three of any ``blocks`` blocks of bits, so they
-meet where the others are equal; for each such choice, rows with equal blocks are a bucket. A bucket beyond ``PART`` is dealt
-in parts, and each pair of parts is a task's work, so no task holds a large bucket. In a task the fingerprints are sorted by Gray
-rank, where neighbours share long bit patterns; a node knows the bits that all below it share, those of its parents
-left out. Pairs of nodes go down the index together, adding up the differences in bits that both know; beyond three the pair is
-left, and where no unknown bit could make it more, all below are linked at once. Only a spanning forest
-leaves the task; forests are joined into components by alternating star contractions.
+meet where the others are equal; for each such choice, rows with equal blocks are a bucket. A bucket beyond ``PART`` is split by
+further bits in the same way, so no task holds a large bucket. A task has one index over all its buckets: in each, the fingerprints
+are sorted by Gray rank, where neighbours share long bit patterns; a node knows the bits that all below it share, the upper ones those
+of whole groups. Pairs of nodes go down the index together, adding up the differences in bits that both know; beyond three the pair is
+left with all below. Only a spanning forest leaves the task; forests are joined into components by alternating star contractions.
 """
 
 from __future__ import annotations
@@ -21,12 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, packed, prepare, unpacked
 
 #: Shingle length, seed, and the bits in which linked fingerprints may differ.
 SHINGLE, SEED, BITS = 3, 42, 3
-#: Rows in a part of a bucket, about; children of a node.
-PART, FAN = 512, 16
+#: Fingerprints in a bucket that a task takes whole; children of a node; pairs of nodes looked at in one go.
+PART, FAN, PAIRS = 4096, 16, 1 << 12
 NO_ID = -(1 << 63)
 #: Names of a row's key.
 ROW = ("doc_id", "h1", "h2")
@@ -49,9 +48,10 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _row_key() -> list[Column]:
+def _row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """What tells rows apart that differ in doc_id or text."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    keys = [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    return [c.alias(n) for c, n in zip(keys, ROW, strict=True)]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -63,8 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*map(batch.column, ROW), pa.array(fps.view(np.int64))], [*ROW, "fp"])
 
-    keys = [c.alias(n) for c, n in zip(_row_key(), ROW, strict=True)]
-    return docs.select(*keys, "text").mapInArrow(run, "doc_id long, h1 long, h2 long, fp long")
+    return docs.select(*_row_key(), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -75,110 +74,132 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels from the leaves (single fingerprints) up. Of each node: the bits that all below share, and their values."""
-
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        x = fps[self.order]
-        self.levels = [(np.full(len(x), ~np.uint64(0)), x)]
-        while len(self.levels[-1][0]) > FAN:
-            mask, bits = self.levels[-1]
-            at = np.arange(0, len(mask), FAN)
-            first = np.repeat(bits[at], FAN)[: len(bits)]
-            shared = np.bitwise_and.reduceat(mask & ~(bits ^ first), at)
-            self.levels.append((shared, bits[at] & shared))
-
-    def links(self, other: GrayIndex | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place here, place there) that connect all that differ in at most ``most`` bits; other None: inside this index."""
-        there = self if other is None else other
-        top = min(len(self.levels), len(there.levels)) - 1
-        a, b = (v.ravel() for v in np.meshgrid(np.arange(len(self.levels[top][0])), np.arange(len(there.levels[top][0])), indexing="ij"))
-        if other is None:
-            a, b = a[a <= b], b[a <= b]
-        differences, known = np.zeros(len(a), np.int64), np.zeros(len(a), np.uint64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for level in range(top, -1, -1):
-            (mask_a, bits_a), (mask_b, bits_b) = self.levels[level], there.levels[level]
-            both = mask_a[a] & mask_b[b]
-            differences = differences + np.bitwise_count((bits_a[a] ^ bits_b[b]) & both & ~known)
+    """One index over the buckets of a shard: groups of at most ``FAN`` neighbours in Gray order, inside their bucket, and groups of these up to
+    the bucket itself. Of each node: the bits that all below share, their values, and where its children begin."""
+
+    def __init__(self, fps: np.ndarray, buckets: np.ndarray):
+        self.order = np.lexsort((gray_rank(fps), buckets))
+        x, bucket = fps[self.order], buckets[self.order]
+        self.levels = [(np.full(len(x), ~np.uint64(0)), x, None)]
+        while True:
+            mask, bits, _ = self.levels[-1]
+            new = np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(bucket)]
+            if new.all():
+                break
+            first = np.flatnonzero(new)
+            place = np.arange(len(bucket)) - np.repeat(first, np.diff(first, append=len(bucket)))
+            at = np.flatnonzero(place % FAN == 0)
+            shared = np.bitwise_and.reduceat(mask & ~(bits ^ np.repeat(bits[at], np.diff(at, append=len(bits)))), at)
+            self.levels.append((shared, bits[at] & shared, np.append(at, len(bits))))
+            bucket = bucket[at]
+
+    def links(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places that connect all in one bucket that differ in at most ``most`` bits. Pairs of nodes go down together, some at a time."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        top = len(self.levels) - 1
+        mine = np.arange(len(self.levels[top][0]))
+        waiting = [(top, *x) for x in self._split(mine, mine, np.zeros(len(mine), np.int64), np.zeros(len(mine), np.uint64))]
+        while waiting:
+            level, a, b, differences, known = waiting.pop()
+            mask, bits, first = self.levels[level]
+            both = mask[a] & mask[b]
+            differences = differences + np.bitwise_count((bits[a] ^ bits[b]) & both & ~known)
             near = differences <= most
             a, b, differences, known = a[near], b[near], differences[near], both[near]
             if not level:
-                break
-            width = FAN**level
-            all_near = differences + np.bitwise_count(~known) <= most
-            for i, j in zip(a[all_near].tolist(), b[all_near].tolist(), strict=True):
-                left = np.arange(i * width, min((i + 1) * width, len(self.order)))
-                right = np.arange(j * width, min((j + 1) * width, len(there.order)))
-                found += [(left, np.full(len(left), right[0])), (np.full(len(right), left[0]), right)]
-            a, b, differences, known = a[~all_near], b[~all_near], differences[~all_near], known[~all_near]
-            down = np.arange(FAN)
-            pa_, pb_ = np.repeat(a * FAN, FAN * FAN) + np.tile(np.repeat(down, FAN), len(a)), np.repeat(b * FAN, FAN * FAN) + np.tile(down, len(b) * FAN)
-            differences, known = np.repeat(differences, FAN * FAN), np.repeat(known, FAN * FAN)
-            there_are = (pa_ < len(self.levels[level - 1][0])) & (pb_ < len(there.levels[level - 1][0]))
-            if other is None:
-                there_are &= pa_ <= pb_
-            a, b, differences, known = pa_[there_are], pb_[there_are], differences[there_are], known[there_are]
-        found.append((a, b))
-        left, right = (np.concatenate(v) for v in zip(*found, strict=True))
-        return self.order[left], there.order[right]
-
-
-def forest(names: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(name, smallest name of its component) of those that aren't the smallest."""
-    if not pairs:
-        return names[:0], names[:0]
-    a, b = (np.concatenate(v) for v in zip(*pairs, strict=True))
-    label = names.copy()
-    place = {int(v): i for i, v in enumerate(names)} if len(a) else {}
-    while len(a):
+                other = a != b
+                found.append((a[other], b[other]))
+                continue
+            n, m = first[a + 1] - first[a], first[b + 1] - first[b]
+            pair = np.repeat(np.arange(len(a)), n * m)
+            k = np.arange(len(pair)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            down, across = first[a][pair] + k // m[pair], first[b][pair] + k % m[pair]
+            once = down <= across
+            waiting += [(level - 1, *x) for x in self._split(down[once], across[once], differences[pair][once], known[pair][once])]
+        a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+        return self.order[a], self.order[b]
+
+    @staticmethod
+    def _split(*columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for i in range(0, len(columns[0]), PAIRS):
+            yield tuple(c[i : i + PAIRS] for c in columns)
+
+
+def forest(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, smallest name of its component) of those that aren't the smallest; a, b: places of linked names, which may repeat."""
+    kinds, number = np.unique(names, return_inverse=True)
+    a, b = number[a], number[b]
+    label = np.arange(len(kinds))
+    while True:
         least = np.minimum(label[a], label[b])
         if (label[a] == least).all() and (label[b] == least).all():
             break
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[[place[v] for v in label.tolist()]]  # each label's own label
-    moved = label != names
-    return names[moved], label[moved]
+        for side in (a, b):
+            np.minimum.at(label, label[side], least)
+            np.minimum.at(label, side, least)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(kinds)))
+    return kinds[moved], kinds[label[moved]]
+
+
+def _parts(mask: int, parts: int) -> list[int]:
+    """``mask``, and one of ``parts`` runs of the bits outside it, each."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    edge = [len(free) * i // parts for i in range(parts + 1)]
+    return [mask | sum(1 << k for k in free[i:j]) for i, j in zip(edge, edge[1:], strict=False)]
 
 
 def _masks(n: int) -> list[int]:
-    """Choices of blocks to agree in: more and smaller buckets for more rows."""
-    blocks = 4 if n < 1 << 21 else 5 if n < 1 << 28 else 6
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    ones = [((1 << (j - i)) - 1) << i for i, j in zip(edge, edge[1:], strict=False)]
-    signed = [sum(c) for c in combinations(ones, blocks - BITS)]
-    return [m - (1 << 64) if m >> 63 else m for m in signed]
+    """Choices of bits to agree in: more and smaller buckets for more rows."""
+    blocks = BITS + 1 if n < 1 << 21 else BITS + 2 if n < 1 << 28 else BITS + 3
+    ones = _parts(0, blocks)
+    return [sum(c) for c in combinations(ones, blocks - BITS)]
 
 
-def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["band", "value", "low", "high"], kind="stable")
-    keys = pdf[["band", "value", "low", "high"]].to_numpy()
-    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-    edges = [0, *cuts.tolist(), len(keys)]
-    ids, part = pdf["fp"].to_numpy(), pdf["part"].to_numpy()
-    fps = ids.view(np.uint64)
-    names, roots = [], []
-    for i, j in zip(edges, edges[1:], strict=False):
-        if j - i < 2:
-            continue
-        x, own, low, high = fps[i:j], ids[i:j], int(keys[i, 2]), int(keys[i, 3])
-        if j - i <= 8 or low == high:
-            pairs = [GrayIndex(x).links(None, BITS)] if j - i > 8 else [np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= BITS, 1))]
-        else:
-            mine, theirs = np.flatnonzero(part[i:j] == low), np.flatnonzero(part[i:j] == high)
-            if not len(mine) or not len(theirs):
-                continue
-            a, b = GrayIndex(x[mine]).links(GrayIndex(x[theirs]), BITS)
-            pairs = [(mine[a], theirs[b])]
-        n, r = forest(own, pairs)
-        names.append(n)
-        roots.append(r)
-    none = np.zeros(0, np.int64)
-    return pd.DataFrame({"u": np.concatenate([none, *names]), "v": np.concatenate([none, *roots])})
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys = pdf[["mask", "value"]].to_numpy()
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = (keys[order][1:] != keys[order][:-1]).any(1)
+    bucket = np.empty(len(order), np.int64)
+    bucket[order] = np.concatenate(([0], np.cumsum(new)))
+    names = pdf["fp"].to_numpy()
+    u, v = forest(names, *GrayIndex(names.view(np.uint64), bucket).links(BITS))
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def _bucketed(kinds: DataFrame, n: int) -> DataFrame:
+    """mask, value, fp of every bucket of two rows or more. Two that differ in at most ``BITS`` bits share one. A bucket beyond ``PART`` is
+    split by further bits, in which the same holds: of the others, four runs, one of which the two agree in. So a row of it comes four
+    times in smaller buckets, down to those that no more than ``PART`` different fingerprints can share."""
+
+    def agreeing(rows: DataFrame, masks: Column) -> DataFrame:
+        rows = rows.select("fp", F.explode(masks).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        size = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
+        return rows.join(size, ["mask", "value"])
+
+    masks = _masks(n)
+    out, rows = None, agreeing(kinds, F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))
+    while True:
+        fit = rows.where(F.col("n") <= PART).select("mask", "value", "fp")
+        out = fit if out is None else out.union(fit)
+        masks = [m for m in masks if 1 << 64 - m.bit_count() > PART]
+        if not masks:
+            return out
+        large = cut(rows.where(F.col("n") > PART).select("mask", "fp"))
+        if large.isEmpty():
+            return out
+        finer = {m: _parts(m, BITS + 1) for m in masks}
+        told = F.create_map(*[x for m, p in finer.items() for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(q)).cast("long") for q in p]))])
+        masks = sorted({q for p in finer.values() for q in p})
+        rows = agreeing(large.select("fp", F.explode(F.element_at(told, F.col("mask"))).alias("mask")).distinct(), F.array("mask"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """id, root of every id that isn't the smallest of its component. edges: u, v longs.
 
     Alternating star contractions: a node's neighbours move to the smallest of them, first the larger ones, then the smaller, until nothing moves; the number
@@ -189,9 +210,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = mark(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -210,14 +229,10 @@ def _rooted(own: DataFrame, first: Column) -> DataFrame:
     spark = own.sparkSession
     kinds = cut(own.groupBy("fp").agg(F.min(first).alias("first")))
     n = kinds.count()
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(_masks(n))])
-    rows = kinds.select("fp", F.explode(bands).alias("b")).select("b.band", "b.value", "fp")
-    size = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(size, ["band", "value"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("band", "value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000) * 4
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("band", "value", "low", "high"), F.lit(shards)).cast("int"))
+    rows = _bucketed(kinds, n).withColumn("shard", F.pmod(F.xxhash64("mask", "value"), F.lit(shards)).cast("int"))
+    if shards > 4 * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(shards, "shard")
     roots = components(rows.groupBy("shard").applyInPandas(_linked, "u long, v long")).select(F.col("id").alias("fp"), "root")
     return cut(kinds.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
 
@@ -226,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links of at most ``BITS`` differing bits reach).
 
     Only fingerprints link: rows with the same doc_id, or without one, are in one component only if their fingerprints are. Components whose smallest
-    doc_id is the same bear the same component_id. A null text is an empty one, with fingerprint 0; a null doc_id counts as the smallest; an
+    doc_id is the same bear the same component_id. Rows that repeat a doc_id with different texts keep a fingerprint each. A null text is an empty one, with fingerprint 0; a null doc_id counts as the smallest; an
     empty table gives an empty result; other columns are ignored."""
     own = cut(fingerprints(docs).select("doc_id", "fp"))
     rooted = _rooted(own, F.col("doc_id"))
@@ -237,10 +252,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns: one of each component, with its smallest doc_id (null first), and of those the first by a hash of the text."""
+    """Rows of ``docs``, all columns: one of each component, with its smallest doc_id (null first), and of those the first by a hash of the text.
+
+    Null and repeated doc_ids are told apart by their texts; a null text is an empty one; of rows that agree in doc_id and text
+    one stays. Columns of any name return untouched; an empty table gives an empty result."""
     rooted = _rooted(cut(fingerprints(docs)), F.struct(*ROW))
-    keys = [f"__{n}" for n in ROW]
-    keep = rooted.groupBy("root").agg(F.min("first").alias("k")).select(*[F.col(f"k.{n}").alias(k) for n, k in zip(ROW, keys, strict=True)])
-    # repeated rows have one key: one of them stays, before anything of them moves
-    rows = docs.withColumns(dict(zip(keys, _row_key(), strict=True))).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__h1"))).where("__n = 1")
-    return rows.join(keep, keys, "left_semi").select(*docs.columns)
+    keep = rooted.groupBy("root").agg(F.min("first").alias("k")).select("k.*")
+    rows = docs.select(packed(docs).alias("row")).select("row", *_row_key("row.doc_id", "row.text"))
+    # repeated rows have one key: one of them stays
+    rows = rows.join(keep, list(ROW), "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(0)))).where("nth = 1")
+    return unpacked(rows, docs.columns)
