@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import give_back, prepare
 from .pieces import Coded, Pieces
 
-#: Steps, judged pairs, words and pieces that a worker keeps at most; then what was judged or read is forgotten, and the machine grows no more.
-STEPS, PAIRS, WORDS, PIECES = 100_000, 300_000, 80_000, 250_000
+#: Steps, judged pairs, words and pieces that a worker keeps at most. Beyond, the steps (or pairs, or words) are forgotten and made anew as they come.
+STEPS, PAIRS, WORDS, PIECES = 200_000, 300_000, 80_000, 250_000
 
 
 class Transducer:
@@ -37,6 +37,13 @@ class Transducer:
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}
         self.pairs: dict[int, bool] = {}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.asked: set[int] = set()
+        self._empty()
+
+    def _empty(self) -> None:
+        """The machine with its first state only."""
+        self.steps.clear()
+        self.asked.clear()
         self.numbers: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self.states: list[tuple[bytes, list[tuple[int, int] | None], list[int]]] = [(b"", [(-1, -1)], [0])]
 
@@ -100,8 +107,8 @@ class Transducer:
         return known
 
     def word(self, data: bytes) -> list[int]:
-        """Ids of a word. At its first step that isn't known, the machine grows by that step, up to ``most_steps`` of them; the rest
-        of the word is simulated, so that only what comes again is determinised."""
+        """Ids of a word. A step that isn't known is noted the first time, when the rest of the word is simulated; the second time the
+        machine grows by it, so that only what comes again is determinised. A full machine starts anew before the next word."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
@@ -109,11 +116,19 @@ class Transducer:
         for i, byte in enumerate(data):
             known = steps.get(state << 8 | byte)
             if known is None:
-                if len(steps) < self.most_steps:
+                key = state << 8 | byte
+                if key in self.asked:
                     state, emitted = self.step(state, byte)
                     out += emitted
                     i += 1
-                return out + self._simulated(state, data[i:])
+                else:
+                    if len(self.asked) > 2 * self.most_steps:
+                        self.asked.clear()
+                    self.asked.add(key)
+                out += self._simulated(state, data[i:])
+                if len(steps) > self.most_steps:
+                    self._empty()
+                return out
             state, emitted = known
             if emitted:
                 out += emitted
@@ -250,6 +265,6 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, share: flo
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
                 decoded = ["".join(own.decode(ids[j:k])) for j, k in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-        pa.default_memory_pool().release_unused()  # the worker may idle beside other stages
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
