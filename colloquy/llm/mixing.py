@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, prepare
+from .common import WORD, cut, packed, prepare, unpacked
 
 #: Weights of the sources in order, repeating; what they share, in parts of all sizes; how often a document may come.
 WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
@@ -42,18 +42,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and copies (how many copies the mix takes, at least half of each); ``row`` tells rows with one doc_id apart.
+    """doc_id, source, row, size, source_size, target, taken, and copies (how many copies the mix takes, at least half of each); ``row`` tells rows with one doc_id apart.
 
     Size is the number of words. The mix takes whole copies; the one at the cut is taken in part. Reruns agree: the shuffle
     is by a hash of doc_id, and ties fall to source and size. A null text has size 0 and is taken as nothing; a null source is
-    a source; a null doc_id is shuffled like an id; repeated rows queue one by one; an empty table gives an empty result; other
+    a source; rows without a doc_id are shuffled by their text; repeated rows queue one by one; an empty table gives an empty result; other
     columns are ignored. ``row`` is the hash of the row's text."""
     prepare(docs.sparkSession)
     sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("row"), word_count(F.col("text")).alias("size")))
     goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, copies))
     n, budget = sized.count(), goals.agg(F.floor(F.sum("target"))).first()[0] or 0
     groups = max(LEAST, -(-n // GROUP))
-    shuffled = sized.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    shuffled = sized.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("row"))).cast("binary")))
     shuffled = shuffled.withColumn("group", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * groups / (1 << 32)))
     part = shuffled.groupBy("source", "group").agg(F.sum("size").alias("n"))
     part = part.select("source", "group", (F.sum("n").over(Window.partitionBy("source").orderBy("group")) - F.col("n")).alias("group_start"))
@@ -83,14 +83,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     keys = ["doc_id", "source", "row", "size", "source_size", "target", "group", "nth"]
     taken = mixed.groupBy(*keys).agg(F.sum("part").alias("taken"), whole.alias("copies"))
     empty = queued.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"))
-    return taken.unionByName(empty).select("doc_id", "row", "size", "source_size", "target", "taken", "copies")
+    return taken.unionByName(empty).select("doc_id", "source", "row", "size", "source_size", "target", "taken", "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs``, all columns, as often as the mix takes it (a copy cut in two comes if half of it does)."""
-    took = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "copies")
-    took = took.withColumn("__nth", F.row_number().over(Window.partitionBy("__doc", "__row").orderBy(F.desc("copies"))))
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.asc_nulls_last("source"))))
-    found = own.join(took, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__row")) & (F.col("__n") == F.col("__nth")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each row of ``docs``, all columns, as often as the mix takes it (a copy cut in two comes if half of it does).
+
+    Null, empty and repeated rows as in :func:`mix`; texts of size 0 do not come. Columns of any name return untouched; an empty
+    table gives an empty result."""
+
+    def keys(doc: str, text_hash: Column, source: str) -> list[Column]:
+        return [F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("doc"), text_hash.alias("hash"), F.coalesce(F.col(source).cast("string"), F.lit("\x00")).alias("of")]
+
+    # rows that agree in the keys are told apart by number only: how many of them come once at least, twice at least ...
+    took = mix(docs).where("copies > 0").select(*keys("doc_id", F.col("row"), "source"), "copies")
+    took = took.groupBy("doc", "hash", "of").agg(F.array(*[F.count_if(F.col("copies") >= k) for k in range(1, COPIES + 1)]).alias("rows"))
+    own = docs.select(packed(docs).alias("row")).select("row", *keys("row.doc_id", F.xxhash64("row.text"), "row.source"))
+    found = own.join(took, ["doc", "hash", "of"])
+    plain = [F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and f.name != "text"]
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "hash", "of").orderBy(F.xxhash64(*plain))))
+    times = F.size(F.filter("rows", lambda n: n >= F.col("nth")))
+    return unpacked(found.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))), docs.columns)

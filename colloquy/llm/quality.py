@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import give_back, packed, prepare, unpacked
 
 #: Labelled rows that a fit takes at most, in order of a hash: enough for some hundred thousand weights.
 SAMPLE = 12_000
@@ -172,12 +172,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model of labels.quality from the rows that aren't held out.
 
     At most ``sample`` labelled ids take part (a bounded broadcast). Null ids, labels and texts (empty) are no
-    obstacle: rows with a null id or label are left out. One task fits the model; a fixed number of weights comes back."""
+    obstacle: rows with a null id or label are left out; of rows that repeat an id the first text counts. One task fits the model; a fixed number of weights comes back."""
     prepare(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    # rows that repeat an id are one before they meet in the fitting task
+    rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("quality").alias("quality"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,10 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "quality", "found"])
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "found"]).drop_duplicates("doc_id")
+        pdf = pdf.sort_values("doc_id")
         pdf = pdf.iloc[np.random.default_rng(0).permutation(len(pdf))]
         m = fit_rows([np.frombuffer(x, np.int32) for x in pdf["found"]], (pdf["quality"].to_numpy() > 0).astype(int))
-        return pd.DataFrame({"weights": [m.weights.tobytes()], "ratios": [m.ratios.tobytes()], "numbers": [[m.bias, m.slope, m.shift]]})
+        out = pd.DataFrame({"weights": [m.weights.tobytes()], "ratios": [m.ratios.tobytes()], "numbers": [[m.bias, m.slope, m.shift]]})
+        del pdf
+        give_back()
+        return out
 
     one = rows.mapInArrow(read, "doc_id long, quality int, found binary").withColumn("fit", F.lit(1)).groupBy("fit").applyInPandas(train, "weights binary, ratios binary, numbers array<double>").first()
     if one is None:
@@ -215,11 +220,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """Rows of ``docs``, all columns, whose score is ``cut`` or more."""
+    """Rows of ``docs``, all columns of any names, whose score is ``cut`` or more.
+
+    A null text scores as an empty one; null ids and repeated rows are judged row by row; an empty table gives an empty result."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(model, batch.column("text").to_pylist()) >= cut))
+            texts = batch.column("row").field(at).to_pylist()
+            yield batch.filter(pa.array(_scores(model, texts) >= cut))
+        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    at, rows = docs.columns.index("text"), docs.select(packed(docs).alias("row"))
+    return unpacked(rows.mapInArrow(run, rows.schema), docs.columns)

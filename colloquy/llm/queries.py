@@ -54,6 +54,7 @@ def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coded(docs: DataFrame, share: float = 1.0) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to; nulls, empty and repeated rows as in :func:`bpe.encode_and_decode`."""
     found = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, share)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(ids).alias("ids_sha256"), _sha(F.col("decoded").cast("binary")).alias("decoded_sha256"))
@@ -70,7 +71,7 @@ def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_levelled_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", _sha("kept").alias("kept_sha256"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", _sha("kept").alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

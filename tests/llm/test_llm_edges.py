@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -26,9 +28,15 @@ ROWS = [
     (6, LONG, "en", "a", 1, "k", 0, 0.5),
     (7, " \t\n\x0b ", "fr", "c", 1, "k", 0, 0.5),
     (8, "naïve café　日本 🎉\x00 nul  double  space\n\nx ", "fr", "c", 1, "k", 0, 0.5),
+    (5, "another text of a repeated id\nthis very line stands in three documents", "en", "b", 1, "k", 0, 0.5),
+    (None, "and one more without any id\nthis very line stands in three documents", None, "b", 1, "k", 0, 0.5),
+    (9, "this very line stands in three documents\nand a last one", "en", "a", 1, "k", 0, 0.5),
 ]
 # the extra columns bear names that the operators use themselves
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int, score double"
+EXTRA = ("copies", "__n", "__doc", "__id", "__row", "__hash", "__copy", "row", "hash", "nth", "times", "lines", "h1", "a.b")
+ROWS = [(*r, *[f"{c} {i}" for c in EXTRA]) for i, r in enumerate(ROWS)]
+ROWS[6] = ROWS[5]  # a row that comes twice
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int, score double, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 
 @pytest.fixture(scope="module")
@@ -45,13 +53,18 @@ def sha(b):
     return hashlib.sha256(b).hexdigest()
 
 
-def order():
-    return sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+@pytest.fixture(scope="module")
+def order(docs):
+    """Rows by doc_id, those that share one by the hash of their text."""
+    from pyspark.sql import functions as F
+
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    return sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
 
 
-def brute(split, window, join):
+def brute(order, split, window, join):
     seen, out = set(), []
-    for r in order():
+    for r in order:
         items = split((r[1] or "").encode())
         gone = [False] * len(items)
         for i in range(len(items) - window + 1):
@@ -63,15 +76,75 @@ def brute(split, window, join):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [1, 400])
+@pytest.mark.parametrize("crowd", [0, 8192])
 @pytest.mark.parametrize(("operator", "split", "window", "join"), [(suffixes.remove_substrings, list, 100, bytes), (matching.remove_passages, bytes.split, 20, b" ".join)])
-def test_repeats(docs, none, hot, operator, split, window, join):
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n, sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in operator(docs, hot=hot).collect())
-    assert got == brute(split, window, join)
+def test_repeats(docs, none, order, crowd, operator, split, window, join):
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n, sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in operator(docs, crowd=crowd).collect())
+    assert got == brute(order, split, window, join)
     assert operator(none).count() == 0
 
 
-def test_token_files(spark, docs, none):
+def test_repeats_come_from_the_index(spark, sf_dir):
+    """All that is removed is told by the suffix arrays and FM-indexes."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for operator in (suffixes.remove_substrings, matching.remove_passages):
+        rows = operator(d).collect()
+        assert sum(r.indexed for r in rows) == sum(s.end - s.start for r in rows for s in r.spans) > 0
+
+
+def test_groups_have_all_occurrences(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    shared = [" ".join(word() for _ in range(40)) for _ in range(3)]
+    texts = {i: " ".join([word(), shared[i % 3], word(), shared[(i * i) % 3][: 200 + i]]) for i in range(12)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for found, split, least in ((suffixes.repeat_groups(d), lambda t: list(t.encode()), 100), (matching.repeated_passages(d), lambda t: t.split(), 20)):
+        items = {i: split(t) for i, t in texts.items()}
+        at = {}
+        for i, x in items.items():
+            for k in range(len(x) - least + 1):
+                at.setdefault(tuple(x[k : k + least]), set()).add((i, k))
+        groups = {}
+        for r in found.collect():
+            groups.setdefault((r.shard, r.match, r.length), set()).add((r.doc_id, r.start))
+        covered = {}
+        for (_, _, n), places in groups.items():
+            strings = {tuple(items[i][k : k + n]) for i, k in places}
+            assert len(strings) == 1 and len(places) > 1 and n >= least  # one string, at all these places
+            for k in range(n - least + 1):
+                key = next(iter(strings))[k : k + least]
+                covered.setdefault(key, set()).update((i, j + k) for i, j in places)
+        assert covered == {k: v for k, v in at.items() if len(v) > 1}
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(2)
+    pieces = list(dict.fromkeys(" ".join(f"w{k}" for k in rng.integers(0, 3, rng.integers(5, 14))).encode() for _ in range(12)))
+    words = [p.split() for p in pieces]
+    for i, got in enumerate(matching.matching_statistics(pieces, 4)):
+        for e in range(len(words[i])):
+            best = 0
+            for n in range(1, e + 2):
+                x = words[i][e + 1 - n : e + 1]
+                if sum(w[k : k + n] == x for w in words for k in range(len(w))) > 1:
+                    best = n
+            assert got[e] == best
+
+
+def test_huffman_wavelet():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 50, 3000):
+        x = np.minimum(rng.zipf(1.4, n), 300)
+        h = wavelet.HuffmanWavelet(x)
+        symbol, lo, hi = rng.integers(0, x.max() + 1, 100), rng.integers(0, n + 1, 100), rng.integers(0, n + 1, 100)
+        a, b = h.rank(symbol, lo, hi)
+        assert a.tolist() == [int((x[:i] == v).sum()) for v, i in zip(symbol, lo, strict=True)]
+        assert b.tolist() == [int((x[:i] == v).sum()) for v, i in zip(symbol, hi, strict=True)]
+        p = np.bincount(x)[np.bincount(x) > 0] / n
+        assert h.bits <= n * (1 - (p * np.log2(p)).sum())  # within a bit a symbol of the entropy
+
+
+def test_token_files(spark, docs, none, order):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -79,26 +152,47 @@ def test_token_files(spark, docs, none):
     tokenfile.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), shard_tokens=50)
     got = sorted(tokenfile.read_tokens(spark, path).collect(), key=lambda r: r.start)
     start, want = 0, []
-    for r in order():
+    for r in order:
         ids = np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4")
         want.append((r[0], start, ids.tobytes()))
         start += len(ids)
     assert [(r.doc_id, r.start, bytes(r.ids)) for r in got] == want
+    every = np.concatenate([np.frombuffer(x[2], "<u4") for x in want])
+    asked = spark.createDataFrame([(i,) for i in [0, 7, 7, len(every) - 1, len(every), -1, None, *range(100, 400)]], "position long")
+    told = {r.position: r.token for r in tokenfile.tokens_at(spark, path, asked).collect()}
+    assert told == {i: int(every[i]) for i in [0, 7, len(every) - 1, *range(100, 400)]}
+    some = [0, int(every[3]), 49999, 70000]
+    assert {r.token: r.n for r in tokenfile.token_counts(spark, path, some).collect()} == {t: int((every == t).sum()) for t in some}
+    for token in some:
+        places = sorted((str(d), k) for d, _, ids in want for k in np.flatnonzero(np.frombuffer(ids, "<u4") == token).tolist())
+        assert sorted((str(r.doc_id), r["at"]) for r in tokenfile.token_occurrences(spark, path, token).collect()) == places
     path = tokenfile.new_path(spark, "edge")
     tokenfile.write_tokens(none, path, public_tokenizers.path("byte_bpe_50k.json"))
     assert tokenfile.read_tokens(spark, path).count() == 0
 
 
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"{end} start", f"hello {end} world", f"hello{end}world  x", f"a  {end}  b", f"the end {end}", f"{end}{end} \n{end}", "<|endoftext", f" {end}"]
+    path = tokenfile.new_path(spark, "added")
+    tokenfile.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tokenfile.read_tokens(spark, path).collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)}
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
-    for n, top in ((0, 1), (1, 1), (63, 3), (64, 60000), (1000, 17)):
+    for n, top in ((0, 1), (1, 1), (63, 3), (64, 60000), (1000, 17), (4000, 2)):
         x = rng.integers(0, top, n).astype(np.uint16)
         w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(x).to_bytes())
         assert (w.values() == x).all()
         if n:
             assert (w.access(np.arange(n)) == x).all()
         for v in {0, int(x[0]) if n else 0, 65535}:
-            assert w.occurrences(v) == np.flatnonzero(x == v).tolist()
+            assert w.occurrences(v).tolist() == np.flatnonzero(x == v).tolist()
             assert [int(w.rank(v, i)) for i in range(n + 1)] == [int((x[:i] == v).sum()) for i in range(n + 1)]
 
 
@@ -157,6 +251,41 @@ def test_quality(spark, docs, none):
     assert all(h == (d is not None and zlib.crc32(str(d).encode()) % 4 == 2) for d, h in held.items())
 
 
+def test_dual_descent_solves_the_hinge_loss():
+    """The model's weights against a plain dense solver of the same primal, by subgradient steps."""
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 2, 60)
+    rows = [np.unique(np.where(rng.random(12) < 0.7, rng.integers(0, 15, 12) + 15 * q, rng.integers(0, 30, 12))) for q in labels]
+    held = np.arange(60) % quality.CALIBRATES == 0
+    x = np.zeros((60, 30))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    count = {q: quality.ALPHA + x[~held & (labels == q)].sum(0) for q in (0, 1)}
+    full = {q: count[q].sum() + quality.ALPHA * (quality.WIDTH - 30) for q in (0, 1)}
+    ratio = np.log((count[1] / full[1]) / (count[0] / full[0]))
+    x = x * ratio
+    x = np.hstack([x / np.sqrt(np.square(x).sum(1, keepdims=True)), np.ones((60, 1))])
+    y, use = np.where(labels > 0, 1.0, -1.0), ~held
+    cost = np.where(y > 0, quality.C, quality.C * max(1.0, (y[use] > 0).sum() / (y[use] < 0).sum()) ** 0.5)
+    goal = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w)))[use].sum()
+    w, best = np.zeros(31), np.inf
+    for k in range(20000):
+        on = use & (y * (x @ w) < 1)
+        w = w - (w - (cost * y * on) @ x) / (k + 2)
+        best = min(best, goal(w))
+    model = quality.fit_rows(rows, labels)
+    assert np.allclose(model.ratios[:30], ratio)
+    own = goal(np.append(model.weights[:30], model.bias))
+    assert own <= best * 1.01
+
+
+def test_quality_takes_repeated_ids_once(spark):
+    rows = [(i, f"word{i % 2} " * 30) for i in range(1, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    once, often = (quality.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows + rows[:5] * 50))
+    assert np.array_equal(once.weights, often.weights) and once.bias == often.bias
+
+
 @pytest.mark.parametrize("kind", ["han", "cyrillic", "salad"])
 def test_quality_tells_texts_of_one_shape_apart(kind):
     rng = np.random.default_rng(5)
@@ -227,14 +356,36 @@ def test_rules_judge_small_groups_by_their_language(spark):
     assert {r.doc_id for r in got if not r.kept} == {400}
 
 
+def test_smallest_determinant_of_all_subsets():
+    rng = np.random.default_rng(6)
+    for n in (7, 9, 10):
+        x = rng.normal(size=(n, rules.D)) * [1, 2, 0.5, 0.2]
+        x[: n // 5] += 10
+        h = math.ceil(rules.CORE * n)
+        least = min(rules.shape(h, x[list(c)].mean(0), x[list(c)].T @ x[list(c)] / h)[1] for c in combinations(range(n), h))
+        starts = [list(c) for c in combinations(range(n), rules.D + 1)]
+        assert rules.concentrated(x, starts)[0][0] == pytest.approx(least, abs=0.01)
+
+
+def test_the_estimate_over_all_rows_is_that_of_the_best_core(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(300, 4)) * 0.3, rng.normal(size=(60, 4)) * 0.1 + 4])
+    d = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, y0 double, y1 double, y2 double, y3 double")
+    got = rules.robust_estimates(d).collect()[0]
+    best = rules.concentrated(x, [rng.choice(len(x), 5, replace=False) for _ in range(60)])[0]
+    assert np.abs(np.array(got.centre) - best[1]).max() < 0.05 and abs(got.det - best[0]) < 0.1
+
+
 def test_simhash(docs, none):
-    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
-    fps = {r[0]: simhash.fingerprint(r[1] or "") for r in ROWS}
-    assert all(r.fp == np.uint64(fps[d]).view(np.int64) for d, r in got.items())
+    found = simhash.near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.fp) for r in found) == sorted((str(r[0]), int(np.uint64(simhash.fingerprint(r[1] or "")).view(np.int64))) for r in ROWS)
+    got = {r.doc_id: r for r in found}
     assert got[2].component_id == got[3].component_id == got[7].component_id == 2
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.one_of_each(docs).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "4", "5", "6", "8", "None"]
+    assert {tuple(r) for r in kept} <= set(ROWS)
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "4", "5", "5", "6", "8", "9", "None", "None"]
+    assert simhash.one_of_each(none).count() == 0
 
 
 def test_simhash_links_by_fingerprint_only(spark):
@@ -251,22 +402,29 @@ def test_simhash_links_by_fingerprint_only(spark):
 
 
 @pytest.mark.parametrize("n", [3, 40, 900])
-def test_gray_index_links_all(n):
+def test_gray_index_links_all_in_a_bucket(n):
     rng = np.random.default_rng(n)
     base = rng.integers(0, 1 << 62, 5).astype(np.uint64)
     x = np.unique(base[rng.integers(0, 5, n)] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)))
-    names = np.arange(len(x))
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
-    want = simhash.forest(names, [np.nonzero(near)])
-    got = simhash.forest(names, [simhash.GrayIndex(x).links(None, 3)])
-    assert sorted(zip(*want, strict=True)) == sorted(zip(*got, strict=True))
-    half = len(x) // 2
-    a, b = simhash.GrayIndex(x[:half]).links(simhash.GrayIndex(x[half:]), 3)
-    # connected at least as the pairs across are, and by links of that kind only
-    cross = near.copy()
-    cross[:half, :half] = cross[half:, half:] = False
-    want, got = dict(zip(*simhash.forest(names, [np.nonzero(cross)]), strict=True)), dict(zip(*simhash.forest(names, [(a, b + half)]), strict=True))
-    assert want == got
+    for bucket in (np.zeros(len(x), np.int64), rng.integers(0, 3, len(x))):
+        near = (np.bitwise_count(x[:, None] ^ x[None, :]) <= 3) & (bucket[:, None] == bucket[None, :])
+        a, b = simhash.GrayIndex(x, bucket).links(3)
+        assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in np.argwhere(np.triu(near, 1)).tolist()}
+
+
+def test_large_buckets_are_split_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 8)
+    rng = np.random.default_rng(3)
+    low = np.unique(rng.integers(0, 1 << 20, 400).astype(np.int64))
+    low = np.unique(np.concatenate([low, low ^ (1 << 3) ^ (1 << 17), low ^ 7 << 40]))
+    kinds = spark.createDataFrame([(int(v),) for v in low], "fp long")
+    rows = simhash._bucketed(kinds, len(low)).collect()
+    buckets = {}
+    for r in rows:
+        buckets.setdefault((r.mask, r.value), []).append(r.fp)
+    assert max(map(len, buckets.values())) <= 8
+    found = {tuple(sorted((a, b))) for v in buckets.values() for a in v for b in v if a != b and (a ^ b).bit_count() <= 3}
+    assert found == {tuple(sorted((int(low[i]), int(low[j])))) for i, j in np.argwhere(np.triu(np.bitwise_count(low[:, None] ^ low[None, :]) <= 3, 1)).tolist()}
 
 
 def test_components_of_a_long_chain(spark):
@@ -276,17 +434,54 @@ def test_components_of_a_long_chain(spark):
 
 def test_lines(spark, docs, none):
     got = lines.drop_repeated_lines(docs)
-    assert len(got.columns) == len(docs.columns) + 2 and got.count() == len(ROWS)
+    assert got.columns == ["row", "kept", "n_lines", "n_dropped"]
+    assert sorted(map(str, (tuple(r.row) for r in got.collect()))) == sorted(map(str, ROWS))
+    # the null ids are one document, which holds the line twice over; the largest id keeps it
+    assert sorted((str(r.row.doc_id), r.n_dropped) for r in got.collect() if "this very line" in (r.row.text or "")) == [("5", 1), ("9", 0), ("None", 1)]
     assert lines.drop_repeated_lines(none).count() == 0
     line = "This very line is repeated."
     rows = [(i, f"own {i}\n {line.upper()}\t\n{line}", "x") for i in range(5)] + [(4, line, "x"), (9, "", None), (10, None, None)]
     small = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, h1 string"))
-    kept = sorted((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in small.collect())
+    kept = sorted((r.row.doc_id, r.kept, r.n_lines, r.n_dropped) for r in small.collect())
     assert kept == [*[(i, f"own {i}", 3, 2) for i in range(4)], (4, line, 1, 0), (4, f"own 4\n {line.upper()}\t\n{line}", 3, 0), (9, "", 1, 0), (10, "", 1, 0)]
+    assert set(small.select("row.h1").distinct().collect()) == {("x",), (None,)}
     two = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
     assert all(r.n_dropped == 0 for r in lines.drop_repeated_lines(two).collect())
 
 
+def test_runs_go_on_in_another_session(spark, tmp_path):
+    def batch(keys, holder):
+        return spark.createDataFrame([(k, -k, 1, holder) for k in keys], "h1 long, h2 long, n long, holder long")
+
+    runs = lines.Runs(spark, str(tmp_path), 4)
+    seen = {}
+    for step in range(11):
+        keys, holder = range(step, 60, step % 4 + 1), 100 - step
+        for k in keys:
+            n, first = seen.get(k, (0, holder))
+            seen[k] = n + 1, first
+        runs.add(batch(keys, holder))
+        assert all(len(names) < lines.FAN for names in runs.levels)
+        if step % 3 == 0:
+            runs = lines.Runs(spark, str(tmp_path), 4, runs.told)
+        assert {r.h1: (r.n, r.holder) for r in runs.merged().collect()} == seen
+    two = runs.both(*(runs.read(name) for _, name in runs.told[:2]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in two and "Exchange" not in two and "Sort [" not in two
+
+
+def test_large_components_are_exact(spark):
+    rows = [(i, [2e6 + i, -1e6]) for i in range(15)] + [(20, [2e6, 3.5]), (40, [0.25, 2e6]), (60, [1e15, 1e3]), (80, [3e38, -3e38]), (100, [0.5, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    low, high = -(1 << 63), (1 << 63) - 1
+    clip = lambda x: min(max(x, low), high)
+    whole = {i: [clip(math.floor(64 * x)) for x in e] for i, e in rows}
+    want = set()
+    for q in (0, 20, 40, 60, 80, 100):
+        scores = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i], strict=True))), i) for i in whole if i != q)[:20]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)}
+    assert {tuple(r) for r in topk.top_k(v, v.vec_id % 20 == 0).collect()} == want
+
+
 def test_top_k(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [0.5, -0.25]) for i in range(30)] + [(40, None), (60, [nan, 1.0]), (80, [inf, 1.0]), (100, [None, 1.0]), (120, [1.0]), (140, []), (160, []), (None, [1.0, 1.0]), (20, [0.5, -0.25])]

@@ -77,3 +77,25 @@ def test_encoding(stages):
 
 def test_run_is_the_stages(spark, sf_dir, stages):
     assert sorted(map(tuple, pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, stages[-1][1].collect()))
+
+
+def test_stages_keep_rows_of_any_kind(spark, tmp_path):
+    """Null and repeated ids, null texts and columns with the stages' own names, through line dedup, near-dedup and mixing; and no rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, __n int, __doc int, __id int, __row int, __hash int, __copy int, kept int, `row` int, nth int"
+    texts = [" ".join(f"{k:03d}x{i}" for k in range(60)) for i in range(6)]
+    ids = [None, None, None, 7, 7, 7]
+    rows = [(d, t, "en", "s", len(t), *range(10)) for d, t in zip(ids, texts, strict=True)] + [(None, None, None, None, None, *range(10)), (1, "", "en", "s", 0, *range(10))]
+    docs = spark.createDataFrame(rows, schema)
+    for name, f in pipeline.STAGES[1:4]:
+        out = f(spark, docs, "")
+        assert out.dtypes == docs.dtypes, name
+        got = {tuple(r) for r in out.collect()}
+        assert got <= set(rows) and {r[1] for r in got} >= set(texts), name
+        assert f(spark, docs.limit(0), "").count() == 0
+    kept = sorted(map(str, pipeline.one_of_copies(spark, docs, "").collect()))
+    assert len(kept) == 7  # the null and the empty text are copies
+    assert pipeline.encode(spark, docs, "").count() == len(rows)
+    labels = "doc_id long, quality int, toxic int"
+    docs.limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], labels).write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
