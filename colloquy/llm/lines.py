@@ -19,8 +19,8 @@ from .common import cut, packed, prepare
 
 #: Batches of a call, runs that a level holds before it is merged.
 BATCHES, FAN = 4, 2
-#: Documents to a bucket, about, and buckets at least.
-BUCKET, LEAST = 50_000, 8
+#: Documents to a bucket, about; there are as many buckets as shuffle partitions at least.
+BUCKET = 50_000
 BLANK = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = -(1 << 63)
@@ -125,7 +125,7 @@ def repeated_lines(docs: DataFrame, least_chars: int, least_docs: int, batches:
     seen = docs.select("doc_id", batch.alias("k"), F.explode(own).alias("h")).select("k", "h.h1", "h.h2", "doc_id")
     if n != ids:  # rows that repeat a doc_id are one document
         seen = seen.distinct()
-    runs = Runs(spark, f"{spark.sparkContext.getCheckpointDir()}/lines-{uuid.uuid4().hex}", max(LEAST, -(-n // BUCKET)))
+    runs = Runs(spark, f"{spark.sparkContext.getCheckpointDir()}/lines-{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET)))
     sums = runs.write(runs.dealt(seen.groupBy("k", *KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))), "batches", "k int, " + _RUN)
     for k in range(len(edges) + 1):
         runs.add(sums.where(F.col("k") == k).drop("k"))
