@@ -71,11 +71,10 @@ def has_keyword(text: Column, words: tuple[str, ...] = KEYWORDS) -> Column:
 
 
 def top_char_share(text: Column) -> tuple[Column, Column]:
-    """Count of the most frequent character, white space aside, and of all; 0 where there is none."""
+    """Count of the most frequent character, white space aside, and of all; 0 where there is none. Sorted, equal characters are runs."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    n = F.length(plain)
-    counts = F.transform(F.array_distinct(F.split(plain, "")), lambda c: n - F.length(F.replace(plain, c, F.lit(""))))
-    return F.when(n == 0, 0).otherwise(F.array_max(counts)), n
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(plain, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)), F.length(plain)
 
 
 def whole(vector: Column, scale: int = 64) -> Column:

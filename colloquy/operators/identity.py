@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,16 +63,14 @@ def quorum(answers: DataFrame, samples: DataFrame, agents: DataFrame) -> DataFra
 
 
 @F.pandas_udf(StringType())
-def normal_form(text: pd.Series) -> pd.Series:
-    """NFKC, lower case, straight apostrophes, hyphens and other signs as spaces, single spaces."""
+def compatible(text: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC), which Spark lacks, a batch at a time."""
+    return text.str.normalize("NFKC")
 
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = unicodedata.normalize("NFKC", t).lower().replace("’", "'").replace("-", " ")
-        return " ".join("".join(c if c.isalnum() or c in "_'" else " " for c in t).split())
 
-    return text.map(one)
+def normal_form(text: Column | str) -> Column:
+    """Composed, in lower case, each run of other characters than letters, digits and _ one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(compatible(text)), r"(?U)[^\w]+", " "))
 
 
 @F.pandas_udf(DoubleType())

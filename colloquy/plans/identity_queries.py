@@ -11,6 +11,8 @@ from .queries import FRAME, SEG, TURN, query
 
 _LIST = ", ".join(f"'{s}'" for s in T.SOURCES)
 NAMED = f"""{SEG}, named AS (SELECT *, CASE speaker WHEN 'user' THEN 'Person ' || rec % 5 WHEN 'assistant' THEN 'Guest ' || ord % 3 ELSE 'Speaker 1' END AS name, [{_LIST}][(rec + ord) % 8 + 1] AS source, 400 + (rec * 7 + ord * 13) % 600 AS confidence, (rec + ord) % 2 = 0 AS confirmed FROM seg)"""
+_SAID = ", ".join("'" + x.replace("'", "''") + "'" for x in T.SAID)
+SPOKEN = f"""{NAMED}, spoken AS (SELECT * EXCLUDE (text), [{_SAID}][(rec * 3 + ord * 7) % {len(T.SAID)} + 1] AS text FROM named)"""
 _HUMAN = "(source IN ('participant_map', 'manual_review', 'reviewed_notes'))"
 
 

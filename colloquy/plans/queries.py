@@ -380,15 +380,6 @@ def i3_ordered_cover(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Fixed rows with real cues: the given tables hold invented words only.
-TALK = ((1, 0, "Ana", "I will deploy the release in 2 hours."), (1, 1, "Ben", "Maybe I test it tomorrow."), (1, 2, "Speaker 3", "I'll verify the build."), (1, 3, "Ana", "No downtime during maintenance."), (1, 4, "Ben", "Let me restart it, I need to verify 30 minutes."))
-
-
-@query("""SELECT * FROM (VALUES (1, 0, 'Ana', 'self', 'accepted', ''), (1, 1, 'Ben', 'weak', 'review', 'weak_intent'), (1, 2, 'Speaker 3', 'self', 'review', 'owner_unknown'), (1, 4, 'Ben', 'self', 'accepted', ''), (1, 4, 'Ben', 'self', 'accepted', '')) AS t(rec, ord, owner, kind, status, reasons)""")
-def k5_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(TALK, "rec int, ord int, name string, text string")
-    return ledger.candidates(rows).select("rec", "ord", "owner", "kind", "status", F.array_join("reasons", ",").alias("reasons"))
-
-
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
 

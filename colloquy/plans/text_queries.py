@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import claims, ledger, sequences
 from ..sources import tables as T
-from .identity_queries import NAMED
-from .queries import FRAME, SEG, TALK, TURN, query
+from .identity_queries import NAMED, SPOKEN
+from .queries import FRAME, SEG, TURN, query
 
 
 @query(f"""WITH {SEG} SELECT 'seg_' || rec || '_' || ord AS id, CAST(start_ms AS DOUBLE) / 1000 AS start, CAST(end_ms AS DOUBLE) / 1000 AS "end", text, speaker FROM seg""")
@@ -55,13 +55,6 @@ def b4_digest(spark: SparkSession, sf: str) -> DataFrame:
     return head.unionByName(hits.select(F.lit(1).alias("section"), F.row_number().over(Window.orderBy("p")).cast("long").alias("line"), F.col("p").cast("string").alias("text")))
 
 
-@query("""SELECT * FROM (VALUES ('accepted', 3), ('constraints', 1), ('review', 2)) AS t(section, n)""")
-def b5_ledger_sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(TALK, "rec int, ord int, name string, text string")
-    c = ledger.candidates(rows).select(F.col("status").alias("section"))
-    return c.unionByName(ledger.constraints(rows).select(F.lit("constraints").alias("section"))).groupBy("section").agg(F.count("*").cast("int").alias("n"))
-
-
 @query("""SELECT label, count(*) AS n FROM embeddings GROUP BY label""")
 def b12_library_without_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "embeddings").drop("embedding").groupBy("label").agg(F.count("*").alias("n"))
@@ -123,12 +116,16 @@ def d7_transcript_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return T.segments(spark, sf).groupBy("rec").agg(F.sha2(F.array_join(rows, "\x1e"), 256).alias("fingerprint"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'release', '120', ''), (1, 'testing', '', ''), (2, 'testing', '', ''), (3, 'maintenance', '', 'false'), (4, 'testing,maintenance', '30', '')) AS t(ord, topics, minutes, downtime)""")
+_WORDS = {"release": "release|deploy", "testing": "test|verify", "maintenance": "maintenance|restart|downtime"}
+
+
+@query(f"""WITH {SPOKEN} SELECT rec, ord, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(text, '(?i)\\b(?:{w})\\b') THEN '{t}' END" for t, w in _WORDS.items())}], lambda x: x IS NOT NULL), ',') AS topics,
+array_to_string(list_sort(list_distinct(list_concat([60 * CAST(x AS BIGINT) FOR x IN regexp_extract_all(text, '(?i)\\b(\\d+)\\s*hours?\\b', 1)], [CAST(x AS BIGINT) FOR x IN regexp_extract_all(text, '(?i)\\b(\\d+)\\s*minutes?\\b', 1)], [1440 * CAST(x AS BIGINT) FOR x IN regexp_extract_all(text, '(?i)\\b(\\d+)\\s*days?\\b', 1)]))), ',') AS minutes,
+CASE WHEN regexp_matches(text, '(?i)\\b(?:no|without|zero)\\s+downtime\\b') THEN 'false' WHEN contains(lower(text), 'downtime') THEN 'true' ELSE '' END AS downtime FROM spoken""")
 def d9_d12_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    """Topics, lengths and the three values of downtime of fixed rows."""
-    rows = spark.createDataFrame(TALK, "rec int, ord int, name string, text string")
+    """Topics, lengths and the three values of downtime of all spoken rows."""
     t = F.col("text")
-    return rows.select("ord", F.array_join(ledger.topics(t), ",").alias("topics"), F.array_join(F.transform(ledger.durations(t), lambda x: x.cast("string")), ",").alias("minutes"), F.coalesce(ledger.downtime(t).cast("string"), F.lit("")).alias("downtime"))
+    return T.spoken(spark, sf).select("rec", "ord", F.array_join(ledger.topics(t), ",").alias("topics"), F.array_join(F.transform(ledger.durations(t), lambda x: x.cast("string")), ",").alias("minutes"), F.coalesce(ledger.downtime(t).cast("string"), F.lit("")).alias("downtime"))
 
 
 @query("""SELECT o_orderkey AS k, CASE dayname(o_orderdate) WHEN 'Saturday' THEN 'weekend' WHEN 'Sunday' THEN 'weekend' ELSE lower(substr(dayname(o_orderdate), 1, 3)) END AS day FROM orders""")
@@ -179,15 +176,6 @@ def d25_dropped_clauses(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "benchmark").select("item_id", F.sha2(F.trim(F.regexp_replace("text", r"[^.,\n]*(?:der|the)[^.,\n]*[.,]", "")), 256).alias("rest"))
 
 
-@query("""SELECT * FROM (VALUES (1, 2), (2, 0), (3, -1)) AS t(id, n)""")
-def d26_fenced_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples in an answer's JSON, with or without a fence; -1 is no JSON."""
-    answers = ((1, 'So:\n```json\n{"samples": [{"id": 1}, {"id": 2}]}\n```'), (2, '{"samples": []}'), (3, "none"))
-    body = F.regexp_extract("text", r"(?s)(\{.*\})", 1)
-    n = F.json_array_length(F.get_json_object(body, "$.samples"))
-    return spark.createDataFrame(answers, "id int, text string").select("id", F.coalesce(n, F.lit(-1)).alias("n"))
-
-
 @query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN p_retailprice < 1000 THEN 'before' ELSE 'after' END AS mode FROM part""")
 def d28_d29_cases_and_slugs(spark: SparkSession, sf: str) -> DataFrame:
     slug = F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -200,17 +188,6 @@ def d31_allowed_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return T.named_segments(spark, sf).select("rec", "ord", F.array_join(allowed, ",").alias("allowed"))
 
 
-@query("""SELECT * FROM (VALUES ('a', ''), ('b', 'candidate_unknown'), ('c', 'quote_changed,topic_added'), ('d', 'duration_added')) AS t(item, reasons)""")
-def e18_published_items(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ledger.candidates(spark.createDataFrame(TALK, "rec int, ord int, name string, text string"))
-    first, verify = (rows.where(w).select("id", "quote") for w in ("ord = 0", "ord = 2"))
-    item = lambda df, name, quote, t, d: df.select(F.lit(name).alias("item"), "id", quote.alias("text"), t.alias("topics"), d.alias("minutes"))
-    own, none = F.col("quote"), F.array().cast("array<bigint>")
-    items = item(first, "a", F.upper(own), F.array(F.lit("release")), F.array(F.lit(120).cast("long")))
-    items = items.union(item(first.withColumn("id", F.lit("action-0")), "b", own, F.array(F.lit("release")), none)).union(item(verify, "c", F.lit("other"), F.array(F.lit("release")), none)).union(item(verify, "d", own, F.array(F.lit("testing")), F.array(F.lit(5).cast("long"))))
-    return ledger.published_errors(items, rows).select("item", F.array_join("reasons", ",").alias("reasons"))
-
-
 @query(f"""WITH {FRAME}, w AS (SELECT DISTINCT id FROM fr WHERE name = 'error'), g AS (SELECT id, count(*) AS n FROM (SELECT id FROM fr WHERE name IN ('error', 'signup') AND score > 2000 UNION ALL SELECT id FROM fr WHERE name = 'error' AND score > 90000) GROUP BY id)
 SELECT coalesce(w.id, g.id) AS id, CASE WHEN g.id IS NULL THEN 'missing' WHEN w.id IS NULL THEN 'unknown' ELSE 'repeated' END AS reason FROM w FULL OUTER JOIN g ON w.id = g.id WHERE g.id IS NULL OR w.id IS NULL OR n > 1""")
 def e20_m5_m10_exact_cover(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,11 +214,20 @@ def e23_hints_of_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {SEG}, g AS (SELECT rec, ord, speaker, text, list_distinct([substr(text, i, 2) FOR i IN generate_series(1, length(text) - 1)]) AS g FROM seg) SELECT a.rec, a.ord AS a, b.ord AS b FROM g a JOIN g b ON a.rec = b.rec AND a.speaker = b.speaker AND a.ord < b.ord WHERE length(a.text) >= 4 AND length(b.text) >= 4 AND 2 * len(list_intersect(a.g, b.g)) >= len(list_distinct(list_concat(a.g, b.g)))""")
 def e31_repeated_actions(spark: SparkSession, sf: str) -> DataFrame:
-    """Two rows of one speaker and recording that share half of their letter pairs."""
-    s = T.segments(spark, sf).select("rec", "speaker", "ord", "text")
-    p = s.withColumnsRenamed({"ord": "a", "text": "x"}).join(s.withColumnsRenamed({"ord": "b", "text": "y"}), ["rec", "speaker"]).where("a < b")
-    both, either = C.bigram_share(F.col("x"), F.col("y"))
-    return p.withColumn("both", both).withColumn("either", either).where("2 * both >= either").select("rec", "a", "b")
+    """Two rows of one speaker and recording that share half of their letter pairs.
+
+    Such sets share one of the rarest pairs: of a row's pairs, rarest first, the first floor(n / 2) + 1. Rows meet on these only, and
+    only where the sizes allow a half; each candidate is counted once."""
+    s = T.segments(spark, sf).where(F.length("text") >= 4).select("rec", "speaker", "ord", C.bigrams(F.col("text")).alias("g")).withColumn("n", F.size("g"))
+    pairs = s.select("rec", "speaker", "ord", "n", F.explode("g").alias("pair"))
+    common = pairs.groupBy("rec", "speaker", "pair").agg(F.count("*").alias("rows"))
+    w = Window.partitionBy("rec", "speaker", "ord").orderBy("rows", "pair")
+    rare = pairs.join(common.where("rows > 1"), ["rec", "speaker", "pair"], "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
+    rare = rare.withColumn("k", F.row_number().over(w)).where("k <= floor(n / 2) + 1 AND rows > 1").select("rec", "speaker", "pair", "ord", "n")
+    met = rare.withColumnsRenamed({"ord": "a", "n": "m"}).join(rare.withColumnRenamed("ord", "b"), ["rec", "speaker", "pair"]).where("a < b AND 2 * m >= n AND 2 * n >= m").select("rec", "a", "b").distinct()
+    left, right = (s.select("rec", F.col("ord").alias(o), F.col("g").alias(f"g{o}"), F.col("n").alias(f"n{o}")) for o in "ab")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return met.join(left, ["rec", "a"]).join(right, ["rec", "b"]).withColumn("both", both).where("2 * both >= na + nb - both").select("rec", "a", "b")
 
 
 @query("""SELECT o_custkey, o_orderpriority AS topic, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL""")

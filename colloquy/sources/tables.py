@@ -62,9 +62,28 @@ def named_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).withColumns({"name": name, "name_source": source, "confidence": 400 + (F.col("rec") * 7 + F.col("ord") * 13) % 600, "confirmed": k % 2 == 0})
 
 
+#: Sentences with the cues of commitments, intents, states and lengths, dealt to segments by place.
+SAID = (
+    "I will deploy the release in 2 hours.", "I'll test the build, I'll test it again.", "Let me explain the plan first.", "I will not move the server.",
+    "We need to review the contract with Ana.", "Please make sure that the invoice", "Make sure that the backup is running.", "I would like to schedule the maintenance, no downtime.",
+    "Ana will send the report tomorrow.", "Ben plans to migrate the database in 90 minutes.", "The retest is already completed.", "We need to retest it, the retest was not done.",
+    "The service was deployed and it is done.", "Please deploy it, it should be deployed soon.", "I'm going to fix it in 3 hours, then verify the restart.", "我会测试半小时。",
+    "If it works, I need to update the docs in 1 hour.", "I want to create a ticket for the API.", "Nothing to add, Ana asked. Ben will see.", "Let me restart it, I need to verify 30 minutes of downtime.",
+)
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named segments whose text is one of ``SAID``: the given conversations hold invented words only."""
+    k = (F.col("rec") * 3 + F.col("ord") * 7) % len(SAID)
+    return named_segments(spark, sf_dir).withColumn("text", F.element_at(F.array(*map(F.lit, SAID)), (k + 1).cast("int")))
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder that all executors share: the one set in spark.checkpoint.dir; a local one only where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="colloquy-"))
     return sc.getCheckpointDir()
