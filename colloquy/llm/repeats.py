@@ -208,12 +208,30 @@ SEGMENT, DIGEST = 1, 2
 _SHIPPED = "shard int, b int, what int, counts binary, ids binary, ties binary, labels binary, lengths binary, data binary"
 
 
-def _row(x: Batch, shard: int, b: int, what: int, places: list[np.ndarray], lengths: np.ndarray, data: bytes) -> tuple:
-    counts = np.array([len(p) for p in places], np.int32)
-    ids, ties, labels = x.place(np.concatenate(places))
+def _gathered(cuts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the values of several keys, key by key; those of key k lie from cuts[k] to cuts[k + 1]."""
+    count = cuts[keys + 1] - cuts[keys]
+    return np.arange(count.sum()) + np.repeat(cuts[keys] - np.cumsum(count) + count, count)
+
+
+def _row(x: Batch, shard: int, b: int, what: int, starts: np.ndarray, cuts: np.ndarray, keys: np.ndarray, lengths: np.ndarray, data: bytes) -> tuple:
+    """starts: places of all keys of a batch, key by key between ``cuts``; keys: those of this shard."""
+    counts = (cuts[keys + 1] - cuts[keys]).astype(np.int32)
+    ids, ties, labels = x.place(starts[_gathered(cuts, keys)])
     return shard, b, what, counts.tobytes(), ids.tobytes(), ties.tobytes(), labels.tobytes(), lengths.astype(np.int32).tobytes(), data
 
 
+def _crowded_windows(symbols: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts of segments, and two hashes of each window. Only the segments' symbols are hashed."""
+    new = np.concatenate(([True], first[1:] != last[:-1] + 1))  # neighbours are one stretch
+    start, count = first[new], np.append(last[:-1][new[1:]], last[-1]) - first[new] + 1
+    size = count + window - 1
+    base = np.cumsum(size) - size
+    own = symbols[np.arange(size.sum()) + np.repeat(start - base, size)]
+    at = np.arange(count.sum()) + np.repeat(base - np.cumsum(count) + count, count)
+    return at + np.repeat(start - base, count), rolled(own, window, 11)[at], rolled(own, window, 12)[at]
+
+
 def _ship(kind: Kind, shards: int):
     window = kind.window
 
@@ -237,25 +255,22 @@ def _ship(kind: Kind, shards: int):
         if len(of):
             pieces = list(number)
             order = np.argsort(of, kind="stable")
-            cuts = np.flatnonzero(np.diff(of[order])) + 1
-            places = np.split(first[plain][order], cuts)
-            own = anchors[plain[order[np.concatenate(([0], cuts))]]]
+            starts, cuts = first[plain][order], np.searchsorted(of[order], np.arange(len(pieces) + 1))
+            own = anchors[plain[order[cuts[:-1]]]]
             lengths = np.array([len(p) for p in pieces])
             for shard, i in _by(own, shards):
                 data = own[i].tobytes() + b"".join([pieces[j] for j in i.tolist()])
-                rows.append(_row(x, shard, b, SEGMENT, [places[j] for j in i.tolist()], lengths[i], data))
+                rows.append(_row(x, shard, b, SEGMENT, starts, cuts, i, lengths[i], data))
 
         if is_crowded.any():
-            f, count = first[is_crowded], last[is_crowded] - first[is_crowded] + 1
-            windows = np.repeat(f - np.cumsum(count) + count, count) + np.arange(count.sum())
-            one, two = (rolled(x.symbols, window, seed)[windows] for seed in (11, 12))
+            windows, one, two = _crowded_windows(x.symbols, first[is_crowded], last[is_crowded], window)
             order = np.lexsort((windows, two, one))
             one, two, windows = one[order], two[order], windows[order]
             new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            places = np.split(windows, np.flatnonzero(new)[1:])
+            cuts = np.append(np.flatnonzero(new), len(new))
             one, two = one[new], two[new]
             for shard, i in _by(one, shards):
-                rows.append(_row(x, shard, b, DIGEST, [places[j] for j in i.tolist()], np.zeros(0), one[i].tobytes() + two[i].tobytes()))
+                rows.append(_row(x, shard, b, DIGEST, windows, cuts, i, np.zeros(0), one[i].tobytes() + two[i].tobytes()))
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -287,9 +302,7 @@ class Places:
 
     def all_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of several keys, and which of the keys each is of."""
-        count = self.cuts[keys + 1] - self.cuts[keys]
-        which = np.repeat(np.arange(len(keys)), count)
-        return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + self.cuts[keys][which], which
+        return _gathered(self.cuts, keys), np.repeat(np.arange(len(keys)), self.cuts[keys + 1] - self.cuts[keys])
 
 
 def _indexed(kind: Kind, rows: pd.DataFrame) -> Iterator[tuple[list[bytes], Places, np.ndarray, Matches]]:
