@@ -28,7 +28,7 @@ BLANK, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: The base rules: fewest words, and percent of the words that may lie in repeated 3-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Part of a group that the estimate rests on; starts, and the vectors of a group that they see; starts that go on over all rows.
-CORE, STARTS, SEEN, BEST = 0.75, 24, 1000, 2
+CORE, STARTS, SEEN, BEST = 0.75, 24, 1024, 2
 #: Rows of its language that stand beside a group's own.
 DRAWN = 20
 #: A determinant has stopped falling when it falls by less than this part.
@@ -198,9 +198,11 @@ def _quantile_bin(bins: DataFrame, part: float, *by: str) -> DataFrame:
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """g, centre, inverse, det. rows: g, y0 ... of every document."""
     y = [f"y{i}" for i in range(D)]
-    # vectors are seen in order of a hash, equal ones by number: few of each group, none of its rows move otherwise
+    # the first few by a hash of each of many parts of a group: no task meets a whole group
     turn = F.xxhash64(*y, F.monotonically_increasing_id())
-    seen = rows.select("g", *y, turn.alias("turn")).withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy("turn", *y))).where(F.col("nth") <= SEEN)
+    parts = Window.partitionBy("g", "part").orderBy("turn", *y)
+    seen = rows.select("g", *y, turn.alias("turn")).withColumn("part", F.pmod("turn", F.lit(SALTS)))
+    seen = seen.withColumn("nth", F.row_number().over(parts)).where(F.col("nth") <= SEEN // SALTS).drop("part", "nth")
     now = cut(seen.groupBy("g").applyInPandas(_starts, _ESTIMATE))
     done = None
     while True:
