@@ -216,18 +216,14 @@ def e23_hints_of_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def e31_repeated_actions(spark: SparkSession, sf: str) -> DataFrame:
     """Two rows of one speaker and recording that share half of their letter pairs.
 
-    Such sets share one of the rarest pairs: of a row's pairs, rarest first, the first floor(n / 2) + 1. Rows meet on these only, and
-    only where the sizes allow a half; each candidate is counted once."""
-    s = T.segments(spark, sf).where(F.length("text") >= 4).select("rec", "speaker", "ord", C.bigrams(F.col("text")).alias("g")).withColumn("n", F.size("g"))
-    pairs = s.select("rec", "speaker", "ord", "n", F.explode("g").alias("pair"))
-    common = pairs.groupBy("rec", "speaker", "pair").agg(F.count("*").alias("rows"))
-    w = Window.partitionBy("rec", "speaker", "ord").orderBy("rows", "pair")
-    rare = pairs.join(common.where("rows > 1"), ["rec", "speaker", "pair"], "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
-    rare = rare.withColumn("k", F.row_number().over(w)).where("k <= floor(n / 2) + 1 AND rows > 1").select("rec", "speaker", "pair", "ord", "n")
-    met = rare.withColumnsRenamed({"ord": "a", "n": "m"}).join(rare.withColumnRenamed("ord", "b"), ["rec", "speaker", "pair"]).where("a < b AND 2 * m >= n AND 2 * n >= m").select("rec", "a", "b").distinct()
-    left, right = (s.select("rec", F.col("ord").alias(o), F.col("g").alias(f"g{o}"), F.col("n").alias(f"n{o}")) for o in "ab")
-    both = F.size(F.array_intersect("ga", "gb"))
-    return met.join(left, ["rec", "a"]).join(right, ["rec", "b"]).withColumn("both", both).where("2 * both >= na + nb - both").select("rec", "a", "b")
+    The pairs are numbers, made once a row; rows meet only where their sizes allow a half. Sets of letter pairs share nearly all that
+    is frequent, so meeting on a rare pair would make more candidates than a speaker's rows of one recording do."""
+    code = F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long"))
+    s = T.segments(spark, sf).where(F.length("text") >= 4).select("rec", "speaker", "ord", code.alias("c"))
+    g = F.array_distinct(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda x, y: x * (1 << 21) + y))
+    s = s.select("rec", "speaker", "ord", g.alias("g")).withColumn("n", F.size("g"))
+    p = s.withColumnsRenamed({"ord": "a", "g": "x", "n": "m"}).join(s.withColumnsRenamed({"ord": "b", "g": "y"}), ["rec", "speaker"]).where("a < b AND 2 * m >= n AND 2 * n >= m")
+    return p.withColumn("both", F.size(F.array_intersect("x", "y"))).where("3 * both >= m + n").select("rec", "a", "b")
 
 
 @query("""SELECT o_custkey, o_orderpriority AS topic, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL""")
