@@ -60,13 +60,6 @@ def b12_library_without_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "embeddings").drop("embedding").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SEG} SELECT rec, ord, text = '' OR trim(text) = '' AS blank, regexp_matches(lower(substr(text, 1, 96)), '\\bif\\b[^.!?]*$') AS conditional FROM seg""")
-def c10_conditional_before(spark: SparkSession, sf: str) -> DataFrame:
-    """An if-clause still open at the 96th character, where a cue would stand."""
-    before = F.lower(F.substring("text", 1, 96))
-    return T.segments(spark, sf).select("rec", "ord", (F.trim("text") == "").alias("blank"), before.rlike(r"\bif\b[^.!?]*$").alias("conditional"))
-
-
 def conditional_cues(rows: DataFrame) -> DataFrame:
     """rec, ord, cue_at (from 1), conditional, of every cue of the whole text: whether an if-clause is open in the 96 characters before it."""
     p, before = F.col("cue_at"), F.greatest(F.lit(1), F.col("cue_at") - 96)
@@ -79,7 +72,7 @@ def conditional_cues(rows: DataFrame) -> DataFrame:
 SELECT rec, ord, p AS cue_at, regexp_matches(substr(t, greatest(1, p - 96), p - greatest(1, p - 96)), '\\bif\\b[^.!?]*$') AS conditional FROM p
 WHERE regexp_matches(substr(t, p, 6), '^(?:will|must|shall)(?:[^a-z0-9_]|$)') AND (p = 1 OR NOT regexp_matches(substr(t, p - 1, 1), '[a-z0-9_]'))""")
 def c10_conditional_cues(spark: SparkSession, sf: str) -> DataFrame:
-    """Every cue of every text; c10_conditional_before sees the first 96 characters only."""
+    """Every cue of every whole text."""
     return conditional_cues(T.segments(spark, sf))
 
 
