@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .documents import numbers
 
 #: Wording that a claim must not have.
 WEB, ACTION, SIGNS = r"(?i)https?://|www\.", r"(?i)\b(?:will|must|shall|todo)\b", r"[{}<>\[\]]"
+#: Letters of a token that may be spelled in another way, and how alike the spellings must be.
+LONG, LIKE = 7, 0.84
 
 
 def reasons(*checks: tuple[Column, str]) -> Column:
@@ -62,3 +68,23 @@ def first_of_duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> D
     """The first row of each key in order, with n: how many there are."""
     w = Window.partitionBy(*keys)
     return rows.withColumn("__i", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w)).where("__i = 1").drop("__i")
+
+
+@F.pandas_udf(BooleanType())
+def _spelled_like(token: pd.Series, near: pd.Series) -> pd.Series:
+    """Whether one of a few words shares enough blocks with the token, batch by batch."""
+    return pd.Series([any(difflib.SequenceMatcher(None, t, w).ratio() >= LIKE for w in words) for t, words in zip(token, near, strict=True)], dtype=bool)
+
+
+def grounded(token: Column, evidence: Column) -> Column:
+    """Whether the evidence holds the token, case, space and punctuation aside; or, for a long token of ASCII letters and digits, a word
+    spelled almost so. An empty or null token needs no ground; null evidence is empty. Python sees only words of a like length and start."""
+
+    def compact(text: Column) -> Column:
+        return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\u4e00-\u9fff]+", "")
+
+    t = compact(token)
+    exact = F.contains(compact(evidence), t)
+    words = F.regexp_extract_all(F.lower(F.coalesce(evidence, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    near = F.filter(F.array_distinct(words), lambda w: (F.length(w) >= LONG) & (F.abs(F.length(w) - F.length(t)) <= 2) & (F.left(w, F.lit(4)) == F.left(t, F.lit(4))))
+    return exact | _spelled_like(t, F.when(~exact & t.rlike(f"^[a-z0-9]{{{LONG},}}$"), near).otherwise(F.array().cast("array<string>")))

@@ -81,32 +81,39 @@ def _times(start: Column, end: Column, name: str, place: Column) -> list[Column]
     return [_breach(end <= start, "topic_invalid_range" if name == "topic" else f"{name}_time_range_invalid", place), _breach((d > 0) & ((start >= d) | (end > d + SPARE)), "topic_range_out_of_bounds" if name == "topic" else f"{name}_time_range_out_of_bounds", place)]
 
 
-def _table(rows: str, name: str, words: tuple[str, str, str], width: int, ordered: bool, more: Callable[[Column, Column], list[Column]]) -> Column:
-    """Breaches of a section that is a table of ``width`` columns, the first a stretch of time, or one line that stands for none."""
-    c, head = F.col(rows), F.col(rows)[0]
-    marker, label = {"project_updates": ("no_project_updates_marker_mixed_with_rows", "project_updates"), "action_items": ("no_actions_marker_mixed_with_rows", "action_items")}[name]
+def _parsed(rows: str, width: int) -> Column:
+    """Rows of a table below its two first lines: place n, framed, cells, and start and end where the row is whole and they can be read."""
 
-    def row(line: Column) -> Column:
+    def row(line: Column, i: Column) -> Column:
         framed = line.startswith("|") & line.endswith("|")
         cells = F.transform(F.split(F.substring(line, F.lit(2), F.greatest(F.length(line) - 2, F.lit(0))), r"\|", -1), _stripped)
-        time = F.when(framed & (F.size(cells) == width) & cells[0].rlike(RANGE), cells[0])
-        return F.struct(framed.alias("framed"), cells.alias("cells"), seconds(F.regexp_extract(time, RANGE, 1)).alias("start"), seconds(F.regexp_extract(time, RANGE, 2)).alias("end"))
+        return F.struct((i + 1).alias("n"), framed.alias("framed"), cells.alias("cells"))
+
+    def timed(x: Column) -> Column:
+        time = F.when(x["framed"] & (F.size(x["cells"]) == width), x["cells"][0])
+        return F.struct(x["n"].alias("n"), x["framed"].alias("framed"), x["cells"].alias("cells"), seconds(F.regexp_extract(time, RANGE, 1)).alias("start"), seconds(F.regexp_extract(time, RANGE, 2)).alias("end"))
+
+    below = F.slice(F.col(rows), F.lit(3), F.greatest(F.size(rows), F.lit(1)))
+    return F.transform(F.transform(below, row), timed)
+
+
+def _known(items: str) -> Column:
+    return F.filter(items, lambda x: x["start"].isNotNull() & x["end"].isNotNull())
 
-    parsed = F.transform(F.slice(c, 3, F.greatest(F.size(c), F.lit(1))), row)
+
+def _table(rows: str, name: str, words: tuple[str, str, str], width: int, marker: str, more: Callable[[Column, Column], list[Column]]) -> Column:
+    """Breaches of a section that is a table of ``width`` columns, the first a stretch of time, or one line that stands for none."""
+    c, head = F.col(rows), F.get(F.col(rows), F.lit(0))
 
     def rules(x: Column, n: Column) -> list[Column]:
         whole, timed = x["framed"] & (F.size(x["cells"]) == width), x["start"].isNotNull() & x["end"].isNotNull()
-        found = [_breach(~x["framed"], f"{label}_row_not_table", n), _breach(x["framed"] & ~whole, f"{label}_row_column_count", n, F.size(x["cells"])), _breach(whole & F.exists(x["cells"], lambda y: y == ""), f"{label}_row_empty_cell", n), _breach(whole & ~timed, f"{label}_time_range_invalid", n)]
-        found += [F.when(whole & timed, b) for b in _times(x["start"], x["end"], label, n)]
-        if ordered:  # against the last row before it whose times are known
-            before = F.element_at(F.concat(F.array(F.lit(None).cast("long")), F.transform(F.filter(F.slice(parsed, F.lit(1), n - 1), lambda y: y["start"].isNotNull() & y["end"].isNotNull()), lambda y: y["start"])), -1)
-            found.append(_breach(timed & (x["start"] < before), f"{label}_not_chronological", n))
-        return found + [F.when(whole, b) for b in more(x["cells"], n)]
-
-    full = F.concat(F.array(_breach(head != words[0], f"{label}_table_header_invalid"), _breach(c[1] != words[1], f"{label}_table_separator_invalid")), _each(parsed, rules))
-    return (F.when(F.size(c) == 0, F.array(_breach(F.lit(True), f"{label}_section_empty")))
+        found = [_breach(~x["framed"], f"{name}_row_not_table", n), _breach(x["framed"] & ~whole, f"{name}_row_column_count", n, F.size(x["cells"])), _breach(whole & F.exists(x["cells"], lambda y: y == ""), f"{name}_row_empty_cell", n), _breach(whole & ~timed, f"{name}_time_range_invalid", n)]
+        return found + [F.when(timed, b) for b in _times(x["start"], x["end"], name, n)] + [F.when(whole, b) for b in more(x["cells"], n)]
+
+    full = F.concat(F.array(_breach(head != words[0], f"{name}_table_header_invalid"), _breach(F.get(c, F.lit(1)) != words[1], f"{name}_table_separator_invalid")), _each(F.col(f"{rows}_rows"), rules))
+    return (F.when(F.size(c) == 0, F.array(_breach(F.lit(True), f"{name}_section_empty")))
             .when(head == words[2], F.array(_breach(F.size(c) > 1, marker)))
-            .when(F.size(c) < 3, F.array(_breach(F.lit(True), f"{label}_table_incomplete"))).otherwise(full))
+            .when(F.size(c) < 3, F.array(_breach(F.lit(True), f"{name}_table_incomplete"))).otherwise(full))
 
 
 def breaches(docs: DataFrame, key: str, text: str, duration: str, words: Wording = CHINESE) -> DataFrame:
@@ -121,7 +128,7 @@ def breaches(docs: DataFrame, key: str, text: str, duration: str, words: Wording
     d = d.withColumns({name: F.filter(name, lambda x: x != "") for name in ("updates", "decisions", "actions")})
     heads = F.filter(F.transform("topics", lambda x, i: F.when(x.rlike(words.topic), F.struct(i.alias("i"), seconds(F.regexp_extract(x, words.topic, 1)).alias("start"), seconds(F.regexp_extract(x, words.topic, 2)).alias("end")))), lambda x: x.isNotNull())
     d = d.withColumn("heads", F.when(F.col("sound"), heads).otherwise(F.slice(heads, 1, 0)))
-    d = d.withColumn("ranges", F.filter("heads", lambda x: x["start"].isNotNull() & x["end"].isNotNull()))
+    d = d.withColumns({"ranges": _known("heads"), "updates_rows": _parsed("updates", 4), "actions_rows": _parsed("actions", 3)}).withColumn("updates_timed", _known("updates_rows"))
 
     frame = [_breach(F.col("n")[j] != 1, "required_heading_count", None, F.concat(F.lit(f"{x}:"), F.col("n")[j])) for j, x in enumerate(h)]
     frame += [_breach(F.col("n")[2] == 0, "contract_version_mismatch", None, F.lit("project_updates_v4_required")), _breach(F.col("sound") & (F.array_sort("at") != F.col("at")), "required_headings_out_of_order")]
@@ -139,12 +146,16 @@ def breaches(docs: DataFrame, key: str, text: str, duration: str, words: Wording
         last = F.get(F.col("ranges"), n - 2)  # null before the first
         return [_breach(x["start"] < last["start"], "topic_not_chronological", n), _breach(x["start"] - last["end"] > GAP, "topic_gap_too_large", n)]
 
+    def in_order(x: Column, n: Column) -> list[Column]:
+        return [_breach(x["start"] < F.get(F.col("updates_timed"), n - 2)["start"], "project_updates_not_chronological", x["n"])]
+
     size, least, ends = F.size("ranges"), F.greatest(F.lit(1), F.ceil(F.col("d") / COVER)), F.col("ranges")
     covered = [_breach(size < least, "topic_coverage_too_sparse", None, F.concat(size, F.lit("<"), least)), _breach(F.get(ends, F.lit(0))["start"] > COVER, "opening_coverage_missing"), _breach(F.get(ends, size - 1)["end"] < F.col("d") - COVER, "closing_coverage_missing")]
     who = lambda c, n: [_breach(c[1].rlike(NOBODY), "project_updates_participant_unresolved", n)]
     owner = lambda c, n: [_breach(c[2].rlike(NOBODY) & (c[2] != words.unassigned), "action_items_owner_unresolved", n), _breach(c[2].rlike(DATED), "action_items_owner_contains_schedule", n)]
-    tables = F.concat(_table("updates", "project_updates", words.updates, 4, True, who), F.array(_breach(F.size("decisions") == 0, "decisions_section_empty")), _table("actions", "action_items", words.actions, 3, False, owner))
     none = F.slice(strange, 1, 0)
+    late = F.when(F.get(F.col("updates"), F.lit(0)) != words.updates[2], _each(F.col("updates_timed"), in_order)).otherwise(none)
+    tables = F.concat(_table("updates", "project_updates", words.updates, 4, "no_project_updates_marker_mixed_with_rows", who), late, F.array(_breach(F.size("decisions") == 0, "decisions_section_empty")), _table("actions", "action_items", words.actions, 3, "no_actions_marker_mixed_with_rows", owner))
     found = F.concat(F.array(*frame), strange, untimed, F.array(_breach(F.col("sound") & (F.size("heads") == 0), "no_timed_topics")), _each(F.col("heads"), topic), _each(F.col("ranges"), follows),
                      F.when((size > 0) & (F.col("d") > 0), F.array(*covered)).otherwise(none), F.when(size > 0, tables).otherwise(none))
     return d.select(key, F.explode(F.array_compact(found)).alias("x")).select(key, "x.*")

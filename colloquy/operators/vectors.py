@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -47,12 +49,37 @@ def kmeans(vectors: np.ndarray, k: int, rounds: int = 60) -> np.ndarray:
     return found
 
 
-def clusters(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """by, vec_id, cluster: k-means in each group (a recording's windows; a group must fit a task)."""
+def cosine_kmeans(vectors: np.ndarray, k: int, rounds: int = 60) -> np.ndarray:
+    """Cluster of each row by direction: the first row and then the one least like all chosen are the seeds; ties go to the lowest.
+    A row of zeros is like nothing and joins the first cluster."""
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(size > 0, size, 1)
+
+    rows, k = unit(vectors.astype(float)), min(k, len(vectors))
+    seeds, like = [0], rows @ rows[0]
+    while len(seeds) < k:
+        seeds.append(int(like.argmin()))
+        like = np.maximum(like, rows @ rows[seeds[-1]])
+    centres, found = rows[seeds], np.full(len(rows), -1)
+    for _ in range(rounds):
+        now = (rows @ centres.T).argmax(1)
+        if (found == now).all():
+            break
+        found, sums = now, np.zeros_like(centres)
+        np.add.at(sums, now, rows)
+        filled = np.bincount(now, minlength=k) > 0  # an empty one keeps its centre
+        centres = unit(np.where(filled[:, None], sums, centres))
+    return found
+
+
+def clusters(rows: DataFrame, by: str, k: int, method: Callable[[np.ndarray, int], np.ndarray] = kmeans) -> DataFrame:
+    """by, vec_id, cluster: k-means, or its like by direction, in each group (a recording's windows; a group must fit a task)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        found = kmeans(np.stack(pdf["embedding"].to_numpy()).astype(float), k)
+        found = method(np.stack(pdf["embedding"].to_numpy()).astype(float), k)
         return pd.DataFrame({by: pdf[by].to_numpy(), "vec_id": pdf["vec_id"].to_numpy(), "cluster": found.astype(np.int64)})
 
     return rows.select(by, "vec_id", "embedding").groupBy(by).applyInPandas(run, f"{by} long, vec_id long, cluster long")

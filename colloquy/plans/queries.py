@@ -301,6 +301,12 @@ def j1_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.clusters(e, "rec", 3)
 
 
+@query()
+def j2_cosine_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    e = T.table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") % 4).cast("long").alias("rec"))
+    return vectors.clusters(e, "rec", 3, vectors.cosine_kmeans)
+
+
 @query()
 def h5_suppressed_boxes(spark: SparkSession, sf: str) -> DataFrame:
     f = T.frames(spark, sf).select("rec", "id", (F.col("id") % 7).cast("double").alias("x0"), (F.col("id") % 5).cast("double").alias("y0"), (F.col("id") % 7 + 4).cast("double").alias("x1"), (F.col("id") % 5 + 4).cast("double").alias("y1"), F.col("score").cast("double").alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -109,6 +109,20 @@ def d7_transcript_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return T.segments(spark, sf).groupBy("rec").agg(F.sha2(F.array_join(rows, "\x1e"), 256).alias("fingerprint"))
 
 
+def misspelled(word: Column, k: Column) -> Column:
+    """A word as it is, without its last letter, with two letters swapped, with another first letter, or with a strange ending."""
+    n = F.length(word)
+    return F.when(k == 0, word).when(k == 1, F.substring(word, F.lit(1), n - 1)).when(k == 2, F.concat(F.substring(word, F.lit(1), n - 2), F.right(word, F.lit(1)), F.substring(word, n - 1, F.lit(1)))).when(k == 3, F.concat(F.lit("q"), F.substring(word, F.lit(2), n))).otherwise(F.concat(word, F.lit("zqx")))
+
+
+@query()
+def d17_grounded_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The last word of seven letters or more of each whole text, spelled in five ways, against that text."""
+    word = F.regexp_extract("text", r"(?s).*\b([A-Za-z]{7,})\b", 1)
+    d = T.table(spark, sf, "documents").select("doc_id", "text", misspelled(word, F.pmod(F.xxhash64("doc_id"), F.lit(5))).alias("token"))
+    return d.select("doc_id", "token", claims.grounded(F.col("token"), F.col("text")).alias("grounded"))
+
+
 _WORDS = {"release": "release|deploy", "testing": "test|verify", "maintenance": "maintenance|restart|downtime"}
 
 
