@@ -59,6 +59,54 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM f GROUP BY doc_id
 """
 
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce('+' || lang, '') AS tree,
+    -- the checksum's remainder register: each byte goes in, then eight steps
+    list_reduce(list_prepend(4294967295, flatten([[ord(x), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(CAST(doc_id AS VARCHAR), '')])),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS register
+  FROM documents
+), t AS (
+  SELECT *, coalesce(xor(register, 4294967295) % 7 = 0, false) AS hit FROM d
+), l AS (
+  SELECT row_number() OVER (ORDER BY tree, doc_id, leaf) AS rid, doc_id, tree, leaf, found, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+  FROM (SELECT doc_id, tree, {_LEAF.format("n_chars")} AS leaf, CASE WHEN hit THEN {_LEAF.format("(n_chars + 1)")} ELSE {_LEAF.format("n_chars")} END AS found FROM t)
+), nodes AS (
+  SELECT tree, 0 AS lvl, i, leaf AS h, n FROM l
+  UNION ALL
+  SELECT tree, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, lvl, i // 2, n
+), tops AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), crown AS (
+  SELECT 0 AS lvl, i, h, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM crown WHERE n > 1 GROUP BY lvl, i // 2, n
+), steps AS (
+  SELECT l.rid, v.lvl AS step, (l.i >> v.lvl) & 1 AS is_right, s.h FROM l JOIN (SELECT DISTINCT tree, lvl FROM nodes WHERE n > 1) AS v ON l.tree = v.tree
+    LEFT JOIN nodes AS s ON s.tree = l.tree AND s.lvl = v.lvl AND s.i = xor(l.i >> v.lvl, 1)
+  UNION ALL
+  SELECT l.rid, 1000 + v.lvl, (tops.i >> v.lvl) & 1, s.h FROM l JOIN tops ON l.tree = tops.tree JOIN (SELECT DISTINCT lvl FROM crown WHERE n > 1) AS v ON true
+    LEFT JOIN crown AS s ON s.lvl = v.lvl AND s.i = xor(tops.i >> v.lvl, 1)
+), path AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY step) - 1 AS k FROM steps
+), fold AS (
+  SELECT rid, 0 AS k, found AS h FROM l
+  UNION ALL
+  SELECT fold.rid, fold.k + 1, sha256(CASE WHEN path.h IS NULL THEN fold.h WHEN is_right = 1 THEN path.h || fold.h ELSE fold.h || path.h END) FROM fold JOIN path ON fold.rid = path.rid AND fold.k = path.k
+), folded AS (
+  SELECT rid, max_by(h, k) AS h FROM fold GROUP BY rid
+), proof AS (
+  SELECT rid, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof FROM steps GROUP BY rid
+), r AS (
+  SELECT h AS root FROM crown WHERE n = 1
+)
+SELECT l.doc_id, l.leaf, tops.h AS subroot, r.root, coalesce(proof, sha256('')) AS proof_sha256, folded.h AS folded_root, folded.h = r.root AS verified
+FROM l JOIN tops ON l.tree = tops.tree JOIN folded ON l.rid = folded.rid LEFT JOIN proof ON l.rid = proof.rid CROSS JOIN r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_approximation_top_k": OP1, "op4_weighted_fair_mixing": OP4, "op10_levelled_line_dedup": OP10}
+    return {"op1_vector_approximation_top_k": OP1, "op4_weighted_fair_mixing": OP4, "op10_levelled_line_dedup": OP10, "op12_pregel_merkle_manifest": OP12}

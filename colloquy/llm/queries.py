@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, matching, mixing, quality, rules, simhash, suffixes, tokenfile, topk
+from . import bpe, lines, matching, merkle, mixing, prefixbpe, quality, rules, simhash, suffixes, tokenfile, topk, whitening
 from .common import table
 
 
@@ -74,6 +74,19 @@ def op10_levelled_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", _sha("kept").alias("kept_sha256"))
 
 
+def op11_prefix_dp_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixbpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), _sha("ids").alias("ids_sha256"), _sha(F.col("decoded").cast("binary")).alias("decoded_sha256"))
+
+
+def op12_pregel_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.sealed(table(spark, sf_dir, "documents"))
+
+
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
