@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from colloquy.plans import contract_queries, identity_queries, more_queries, rule_queries, text_queries  # noqa: F401
+from colloquy.plans import contract_queries, identity_queries, more_queries, rule_queries, text_queries, topic_queries  # noqa: F401
 from colloquy.plans import queries as Q
 
 
