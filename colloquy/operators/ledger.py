@@ -43,8 +43,8 @@ def downtime(text: Column) -> Column:
 
 def quotes(text: Column, cues: tuple[str, ...]) -> Column:
     """Pieces from each cue to the next."""
-    marked = F.regexp_replace(text, f"({_any(cues)})", "\x01$1")
-    return F.transform(F.slice(F.split(marked, "\x01"), 2, 10_000), lambda q: F.regexp_replace(q, r"^[ \t,;:.\-]+|[ \t,;:.\-]+$", ""))
+    pieces = F.split(F.regexp_replace(text, f"({_any(cues)})", "\x01$1"), "\x01")
+    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda q: F.regexp_replace(q, r"^[ \t,;:.\-]+|[ \t,;:.\-]+$", ""))
 
 
 def candidates(segments: DataFrame) -> DataFrame:

@@ -43,7 +43,6 @@ SCHEMA = f"""doc long, actions array<{ACTION}>, candidates array<struct<owner:st
 dispositions array<struct<c:int,kept:boolean,k:int,code:string,reason:string>>, updates array<struct<participant:string,project:string,text:string,ids:array<string>>>,
 decisions array<struct<text:string,ids:array<string>>>, decision_supports array<struct<k:int,ids:array<string>,basis:string>>"""
 COLUMNS = ("actions", "candidates", "dispositions", "updates", "decisions", "decision_supports")
-_MADE = "struct<old:int,c:int,owner:string,item:string,ids:array<string>,basis:string,split:boolean,changes:array<string>>"
 
 
 def with_evidence(reviews: DataFrame, records: DataFrame) -> DataFrame:
@@ -184,28 +183,27 @@ def repaired(reviews: DataFrame) -> DataFrame:
     # candidates that must be kept, by the action that they are kept as
     behind = lambda k: F.transform(F.filter("dispositions", lambda d: d["kept"] & (d["k"] == k) & F.coalesce(F.get("candidates", d["c"] - 1)["must_keep"], F.lit(False))), lambda d: F.struct(d["c"].alias("c"), F.get("candidates", d["c"] - 1).alias("x")))
 
-    def made(k: Column, c: Column, x: Column, item: Column, split: Column, changes: Column) -> Column:
-        narrow = _has("wide", k) & ~split
-        ids = F.when(narrow & (F.size(_first_cluster(x["ids"])) > 0), _first_cluster(x["ids"])).otherwise(x["ids"])
-        names, values = _values("action", k, "named_entity"), _values("action", k, "number", "weekday")
-        clean = without_entities(item, names)
-        clean = F.when((F.size(names) > 0) & (clean == ""), normal_space(item)).otherwise(clean)
-        text = F.when(F.size(names) + F.size(values) == 0, item).otherwise(without_literals(clean, values))
-        told = _codes((narrow & (ids != x["ids"]), _code("narrowed_action_evidence", k)), ((F.size(names) > 0) & (clean != normal_space(item)), _code("dropped_ungrounded_action_entity_clause", k)), ((F.size(values) > 0) & (text != clean), _code("neutralized_ungrounded_action_literals", k)))
-        return F.struct(k.alias("old"), c.cast("int").alias("c"), x["owner"].alias("owner"), text.alias("item"), ids.alias("ids"), x["basis"].alias("basis"), split.alias("split"), F.concat(changes, told).alias("changes"))
-
-    def action(a: Column, i: Column) -> Column:
-        k, own = (i + 1).cast("int"), behind(i + 1)
-        drop = _has("external", k) | (_has("invalid", k) & (F.size(own) == 0))
-        split = (F.size(own) > 0) & (_has("wide", k) | _has("collapsed", k))
-        restore = (F.size(own) > 0) & (_has("invalid", k) | _has("atomic", k))
-        first = F.get(own, F.lit(0))["x"]
-        no = F.lit(False)
-        parts = F.transform(own, lambda o, j: made(k, o["c"], o["x"], core(o["x"]["item"]), F.lit(True), F.when(j == F.size(own) - 1, F.array(_code("split_must_keep_action", k, F.size(own)))).otherwise(none)))
-        return F.when(drop, F.array().cast(f"array<{_MADE}>")).when(split, parts).when(restore, F.array(made(k, F.lit(None), first, core(first["item"]), no, F.array(_code("restored_must_keep_action", k))))).otherwise(F.array(made(k, F.lit(None), a, a["item"], no, none)))
-
-    r = r.withColumn("made", F.flatten(F.transform("actions", action)))
-    dropped = F.flatten(F.transform("actions", lambda a, i: _codes((_has("external", i + 1), _code("dropped_external_delivery_status_action", i + 1)), (~_has("external", i + 1) & _has("invalid", i + 1) & (F.size(behind(i + 1)) == 0), _code("dropped_unsupported_action", i + 1)))))
+    # step by step, so that no step repeats what one before it found
+    asked = lambda a, i: F.struct((i + 1).cast("int").alias("k"), a.alias("a"), behind(i + 1).alias("own"), *[_has(n, i + 1).alias(n) for n in ("external", "invalid", "wide", "collapsed", "atomic")], _values("action", i + 1, "named_entity").alias("names"), _values("action", i + 1, "number", "weekday").alias("values"))
+    r = r.withColumn("asked", F.transform("actions", asked))
+
+    def parts(q: Column) -> Column:
+        one = lambda c, x, item, split, code: F.struct(q["k"].alias("old"), c.cast("int").alias("c"), x["owner"].alias("owner"), item.alias("item"), x["ids"].alias("ids"), x["basis"].alias("basis"), F.lit(split).alias("split"), (q["wide"] & F.lit(not split)).alias("narrow"), q["names"].alias("names"), q["values"].alias("values"), code.alias("code"))
+        several, n = F.size(q["own"]) > 0, F.size(q["own"])
+        split = F.transform(q["own"], lambda o, j: one(o["c"], o["x"], core(o["x"]["item"]), True, F.when(j == n - 1, _code("split_must_keep_action", q["k"], n))))
+        restored = F.transform(F.slice(q["own"], 1, 1), lambda o: one(F.lit(None), o["x"], core(o["x"]["item"]), False, _code("restored_must_keep_action", q["k"])))
+        drop = q["external"] | (q["invalid"] & ~several)
+        same = F.array(one(F.lit(None), q["a"], q["a"]["item"], False, F.lit(None).cast("string")))
+        return F.when(drop, F.slice(split, 1, 0)).when(several & (q["wide"] | q["collapsed"]), split).when(several & (q["invalid"] | q["atomic"]), restored).otherwise(same)
+
+    r = r.withColumn("parts", F.flatten(F.transform("asked", parts)))
+    carry = lambda m, *new: F.struct(*[m[c].alias(c) for c in ("old", "c", "owner", "item", "ids", "basis", "split", "narrow", "names", "values", "code") if c not in {n for n, _ in new}], *[x.alias(n) for n, x in new])
+    r = r.withColumn("parts", F.transform("parts", lambda m: carry(m, ("near", F.when(m["narrow"], _first_cluster(m["ids"])).otherwise(none)), ("clear", F.when(F.size(m["names"]) > 0, without_entities(m["item"], m["names"])).otherwise(F.lit(""))))))
+    r = r.withColumn("parts", F.transform("parts", lambda m: F.struct(*[m[c].alias(c) for c in ("old", "c", "owner", "item", "basis", "split", "values", "code")], F.when(F.size(m["near"]) > 0, m["near"]).otherwise(m["ids"]).alias("ids"), ((F.size(m["near"]) > 0) & (m["near"] != m["ids"])).alias("nearer"), F.when(m["clear"] != "", m["clear"]).otherwise(m["item"]).alias("clean"), ((m["clear"] != "") & (m["clear"] != normal_space(m["item"]))).alias("cleared"))))
+    r = r.withColumn("parts", F.transform("parts", lambda m: F.struct(*[m[c].alias(c) for c in ("old", "c", "owner", "basis", "split", "code", "ids", "nearer", "clean", "cleared")], F.when(F.size(m["values"]) > 0, without_literals(m["clean"], m["values"])).otherwise(m["clean"]).alias("item"))))
+    made = lambda m: F.struct(*[m[c].alias(c) for c in ("old", "c", "owner", "item", "ids", "basis", "split")], F.concat(_codes((m["code"].isNotNull(), m["code"])), _codes((m["nearer"], _code("narrowed_action_evidence", m["old"])), (m["cleared"], _code("dropped_ungrounded_action_entity_clause", m["old"])), (m["item"] != m["clean"], _code("neutralized_ungrounded_action_literals", m["old"])))).alias("changes"))
+    r = r.withColumn("made", F.transform("parts", made))
+    dropped = F.flatten(F.transform("asked", lambda q: _codes((q["external"], _code("dropped_external_delivery_status_action", q["k"])), (~q["external"] & q["invalid"] & (F.size(q["own"]) == 0), _code("dropped_unsupported_action", q["k"])))))
     told = F.flatten(F.transform("made", lambda m: F.transform(m["changes"], lambda c: F.struct(m["old"].alias("old"), c.alias("code")))))
     gone = F.transform(dropped, lambda c: F.struct(F.element_at(F.split(c, ":"), -1).cast("int").alias("old"), c.alias("code")))
     r = r.withColumn("told", F.transform(F.concat(gone, told), lambda x, i: F.struct(x["old"].alias("old"), i.alias("i"), x["code"].alias("code"))))
@@ -233,23 +231,27 @@ def repaired(reviews: DataFrame) -> DataFrame:
     place = lambda old: F.get(F.filter(F.transform("made", lambda m, j: F.when(m["old"] == old, (j + 1).cast("int"))), lambda j: j.isNotNull()), F.lit(0))
     part = lambda c: F.get(F.filter(F.transform("made", lambda m, j: F.when(m["split"] & (m["c"] == c), (j + 1).cast("int"))), lambda j: j.isNotNull()), F.lit(0))
 
-    def disposition(d: Column, i: Column) -> Column:
-        p = i + 1
-        force = F.get(F.filter("forced_at", lambda f: f["c"] == d["c"]), F.lit(0))["k"]
-        lost = d["k"].isNotNull() & place(d["k"]).isNull() & (d["k"] <= F.size("actions"))
-        wrong = force.isNull() & _has("wrong_owner", p)
-        kept = F.when(force.isNotNull(), True).when(lost, False).otherwise(d["kept"])
-        k = F.when(force.isNotNull(), force).when(lost, F.lit(None).cast("int")).otherwise(F.coalesce(part(d["c"]), place(d["k"]), d["k"]))
-        code = F.when(force.isNotNull(), "supported").when(lost | wrong, "unsupported_commitment").otherwise(d["code"])
-        reason = F.when(force.isNotNull(), RETAINED).when(wrong, NOT_CONCRETE).when(lost & _has("external", d["k"]), DELIVERY).when(lost, NO_COMMITMENT).otherwise(d["reason"])
-        short = F.when(kept, SHORT["kept"])
+    where = lambda d, i: F.struct(d.alias("d"), F.get(F.filter("forced_at", lambda f: f["c"] == d["c"]), F.lit(0))["k"].alias("force"), part(d["c"]).alias("part"), place(d["k"]).alias("place"), _has("wrong_owner", i + 1).alias("wrong"), _has("long_reason", i + 1).alias("long"), _has("external", d["k"]).alias("external"))
+    r = r.withColumn("placed", F.transform("dispositions", where))
+
+    def disposition(q: Column) -> Column:
+        d, forced_ = q["d"], q["force"].isNotNull()
+        lost = d["k"].isNotNull() & q["place"].isNull() & (d["k"] <= F.size("actions"))
+        wrong = ~forced_ & q["wrong"]
+        k = F.when(forced_, q["force"]).when(lost, F.lit(None).cast("int")).otherwise(F.coalesce(q["part"], q["place"], d["k"]))
+        code = F.when(forced_, "supported").when(lost | wrong, "unsupported_commitment").otherwise(d["code"])
+        reason = F.when(forced_, RETAINED).when(wrong, NOT_CONCRETE).when(lost & q["external"], DELIVERY).when(lost, NO_COMMITMENT).otherwise(d["reason"])
+        return F.struct(d["c"].alias("c"), F.when(forced_, True).when(lost, False).otherwise(d["kept"]).alias("kept"), k.alias("k"), code.alias("code"), reason.alias("reason"), q["long"].alias("long"))
+
+    def shortened(x: Column) -> Column:
+        short = F.when(x["kept"], SHORT["kept"])
         for name in ("unsupported_owner", "unsupported_commitment", "unsupported_item"):
-            short = short.when(code == name, SHORT[name])
+            short = short.when(x["code"] == name, SHORT[name])
         short = short.otherwise(SHORT[""])
-        cut = _has("long_reason", p) & (normal_space(reason) != short)
-        return F.struct(F.struct(d["c"].alias("c"), kept.alias("kept"), k.alias("k"), code.alias("code"), F.when(cut, short).otherwise(reason).alias("reason")).alias("x"), cut.alias("cut"))
+        cut = x["long"] & (normal_space(x["reason"]) != short)
+        return F.struct(F.struct(*[x[c].alias(c) for c in ("c", "kept", "k", "code")], F.when(cut, short).otherwise(x["reason"]).alias("reason")).alias("x"), cut.alias("cut"))
 
-    r = r.withColumn("new_dispositions", F.transform("dispositions", disposition))
+    r = r.withColumn("placed", F.transform("placed", disposition)).withColumn("new_dispositions", F.transform("placed", shortened))
 
     # decisions
     def support(s: Column, i: Column) -> Column:
@@ -275,29 +277,41 @@ def repaired(reviews: DataFrame) -> DataFrame:
     weight = lambda a: F.when(a["item"].rlike(MINOR), 0).when(a["item"].rlike(MAJOR), 2).otherwise(1)
     best = lambda who: F.get(F.array_sort(F.transform(F.filter(F.transform("new_actions", lambda a, j: F.struct(a.alias("a"), j.alias("j"))), lambda y: y["a"]["owner"] == who), lambda y: F.struct((-weight(y["a"])).alias("w"), y["j"].alias("j"), y["a"]["item"].alias("item"), y["a"]["ids"].alias("ids")))), F.lit(0))
 
-    def update(u: Column, i: Column) -> Column:
-        k, names = i + 1, _values("project_update", i + 1, "named_entity")
-        values, stand_in = _values("project_update", i + 1, "number", "weekday"), best(u["participant"])
-        rebuilt = stand_in.isNotNull() & (_has("mismatched", k) | (F.size(names) > 0) | (_has("wide_update", k) & (u["project"] == FOLLOW_UP)))
-        narrow = ~rebuilt & _has("wide_update", k) & (F.size(_first_cluster(u["ids"])) > 0)
-        ids = F.when(rebuilt, stand_in["ids"]).when(narrow, _first_cluster(u["ids"])).otherwise(u["ids"])
-        text = F.when(rebuilt, normal_space(stand_in["item"])).otherwise(u["text"])
-        clean = without_entities(text, names)
-        clean = F.when(F.size(names) == 0, text).when(clean == "", text).otherwise(clean)
-        final = F.when(F.size(values) == 0, clean).otherwise(without_literals(clean, values))
-        codes = _codes((rebuilt, _code("rebuilt_project_update", k)), (narrow & (ids != u["ids"]), _code("narrowed_project_update_evidence", k)), (clean != text, _code("dropped_ungrounded_project_update_entity_clause", k)), (final != clean, _code("neutralized_ungrounded_project_update_literals", k)))
+    def judged(u: Column, i: Column) -> Column:
         again = (F.size("repeated") > 0) & F.exists(F.slice("updates", F.lit(1), i), lambda o: o["participant"] == u["participant"])
-        x = F.struct(u["participant"].alias("participant"), F.when(rebuilt, FOLLOW_UP).otherwise(u["project"]).alias("project"), final.alias("text"), ids.alias("ids"))
-        return F.struct(x.alias("x"), codes.alias("codes"), F.when(again, _code("dropped_duplicate_project_update", k)).alias("again"), (_has("mismatched", k) & stand_in.isNull()).alias("stuck"))
-
-    r = r.withColumn("updated", F.transform("updates", update))
+        flags_ = [_has(n, i + 1).alias(n) for n in ("mismatched", "wide_update")]
+        return F.struct((i + 1).alias("k"), u.alias("u"), best(u["participant"]).alias("best"), again.alias("again"), *flags_, _values("project_update", i + 1, "named_entity").alias("names"), _values("project_update", i + 1, "number", "weekday").alias("values"))
+
+    def first_step(q: Column) -> Column:
+        rebuilt = q["best"].isNotNull() & (q["mismatched"] | (F.size(q["names"]) > 0) | (q["wide_update"] & (q["u"]["project"] == FOLLOW_UP)))
+        near = F.when(~rebuilt & q["wide_update"], _first_cluster(q["u"]["ids"])).otherwise(none)
+        text = F.when(rebuilt, normal_space(q["best"]["item"])).otherwise(q["u"]["text"])
+        return F.struct(*[q[c].alias(c) for c in ("k", "u", "best", "again", "mismatched", "names", "values")], rebuilt.alias("rebuilt"), near.alias("near"), text.alias("text"))
+
+    def second_step(q: Column) -> Column:
+        ids = F.when(q["rebuilt"], q["best"]["ids"]).when(F.size(q["near"]) > 0, q["near"]).otherwise(q["u"]["ids"])
+        clear = F.when(F.size(q["names"]) > 0, without_entities(q["text"], q["names"])).otherwise(q["text"])
+        nearer = ~q["rebuilt"] & (F.size(q["near"]) > 0) & (q["near"] != q["u"]["ids"])
+        return F.struct(*[q[c].alias(c) for c in ("k", "u", "best", "again", "mismatched", "values", "rebuilt", "text")], ids.alias("ids"), nearer.alias("nearer"), clear.alias("clear"))
+
+    def third_step(q: Column) -> Column:
+        clean = F.when(q["clear"] == "", q["text"]).otherwise(q["clear"])
+        return F.struct(*[q[c].alias(c) for c in ("k", "u", "best", "again", "mismatched", "rebuilt", "text", "ids", "nearer")], clean.alias("clean"), F.when(F.size(q["values"]) > 0, without_literals(clean, q["values"])).otherwise(clean).alias("final"))
+
+    def update(q: Column) -> Column:
+        k = q["k"]
+        codes = _codes((q["rebuilt"], _code("rebuilt_project_update", k)), (q["nearer"], _code("narrowed_project_update_evidence", k)), (q["clean"] != q["text"], _code("dropped_ungrounded_project_update_entity_clause", k)), (q["final"] != q["clean"], _code("neutralized_ungrounded_project_update_literals", k)))
+        x = F.struct(q["u"]["participant"].alias("participant"), F.when(q["rebuilt"], FOLLOW_UP).otherwise(q["u"]["project"]).alias("project"), q["final"].alias("text"), q["ids"].alias("ids"), q["best"].alias("best"))
+        return F.struct(x.alias("x"), codes.alias("codes"), F.when(q["again"], _code("dropped_duplicate_project_update", k)).alias("again"), (q["mismatched"] & q["best"].isNull()).alias("stuck"))
+
+    r = r.withColumn("updated", F.transform("updates", judged))
+    for step in (first_step, second_step, third_step, update):
+        r = r.withColumn("updated", F.transform("updated", step))
     r = r.withColumn("single", F.transform(F.filter("updated", lambda y: y["again"].isNull()), lambda y: y["x"]))
 
     def upgrade(u: Column, i: Column) -> Column:
-        stand_in = best(u["participant"])
-        up = (u["project"] == FOLLOW_UP) & stand_in.isNotNull() & (u["ids"] != stand_in["ids"])
-        up = F.coalesce(up, F.lit(False))
-        return F.struct(F.struct(u["participant"].alias("participant"), u["project"].alias("project"), F.when(up, normal_space(stand_in["item"])).otherwise(u["text"]).alias("text"), F.when(up, stand_in["ids"]).otherwise(u["ids"]).alias("ids")).alias("x"), F.when(up, _code("upgraded_project_update", i + 1)).alias("code"))
+        up = F.coalesce((u["project"] == FOLLOW_UP) & u["best"].isNotNull() & (u["ids"] != u["best"]["ids"]), F.lit(False))
+        return F.struct(F.struct(u["participant"].alias("participant"), u["project"].alias("project"), F.when(up, normal_space(u["best"]["item"])).otherwise(u["text"]).alias("text"), F.when(up, u["best"]["ids"]).otherwise(u["ids"]).alias("ids")).alias("x"), F.when(up, _code("upgraded_project_update", i + 1)).alias("code"))
 
     r = r.withColumn("upgraded", F.transform("single", upgrade))
 
@@ -325,6 +339,12 @@ def repaired(reviews: DataFrame) -> DataFrame:
     return r.select(*[c for c in reviews.columns if c not in keep], *[c.alias(n) for n, c in keep.items()], F.when(F.col("stuck"), none).otherwise(F.col("changes")).alias("changes"))
 
 
+def once(reviews: DataFrame, records: DataFrame) -> DataFrame:
+    """The outcome of one round. What the reviews are made of is written to the shared scratch folder first: the round asks for it again and again."""
+    scratch(reviews.sparkSession)
+    return repaired(reasons(with_evidence(reviews.checkpoint(), records)).checkpoint())
+
+
 @dataclass
 class Settled:
     """reviews: their last state. rounds: doc, round (from 1), errors (found before it), changes. left: doc, errors that no round mended."""
@@ -340,7 +360,7 @@ def settled(reviews: DataFrame, records: DataFrame, most: int = 12) -> Settled:
     round only: what they name may have moved. Each round is written to the shared scratch folder."""
     scratch(reviews.sparkSession)
     state = F.xxhash64(*COLUMNS)
-    now = reasons(with_evidence(reviews, records)).withColumn("seen", F.array(state)).checkpoint()
+    now = reasons(with_evidence(reviews.checkpoint(), records)).withColumn("seen", F.array(state)).checkpoint()
     kept = [c for c in now.columns if c not in ("given", "errors", "seen")]
     done, log, left = None, None, None
     for n in range(1, most + 1):

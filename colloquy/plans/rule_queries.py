@@ -19,6 +19,14 @@ def _re2(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+#: Whether what stands from a cue on is no commitment.
+_NOT_MEANT = " OR ".join(f"regexp_matches(substr(text, start + 1), {_re2(p)})" for p in (cues.CONVERSATIONAL, cues.IDEA, cues.NEGATED, r"^\s*我(?:将|会)\s*不(?:[^\p{L}\p{N}_]|$)"))  # the last for want of word ends after such letters
+
+
+def _plain_cue(cue: str) -> str:
+    return f"trim(regexp_replace(lower({cue}), '[^a-z0-9_一-鿿]+', ' ', 'g'))"
+
+
 def _places(pattern: str, source: str = "spoken") -> str:
     """Relation of rec, ord, text, i, cue, start of all matches."""
     return f"""m AS (SELECT rec, ord, text, regexp_extract_all(text, {_re2(pattern)}) AS cues, string_split_regex(text, {_re2(pattern)}) AS pieces FROM {source}),
@@ -63,7 +71,7 @@ def c11_incomplete_assurances(spark: SparkSession, sf: str) -> DataFrame:
     return T.spoken(spark, sf).select("rec", "ord", cues.incomplete_assurance(F.col("text")).alias("incomplete"))
 
 
-@query(f"""WITH {SPOKEN}, {_places(cues.COMMITMENT)}, k AS (SELECT rec, ord, bool_or(NOT regexp_matches(substr(text, start + 1), {_re2(cues.NO_COMMITMENT)})) AS c FROM p GROUP BY ALL)
+@query(f"""WITH {SPOKEN}, {_places(cues.COMMITMENT)}, k AS (SELECT rec, ord, bool_or(NOT ({_NOT_MEANT})) AS c FROM p GROUP BY ALL)
 SELECT s.rec, s.ord // 4 AS block, bool_or(coalesce(c, false)) AS commits, regexp_matches(string_agg(text, ' ' ORDER BY s.ord), {_re2(cues.REQUEST)}) AS requested, regexp_matches(string_agg(text, ' ' ORDER BY s.ord), {_re2(cues.FOLLOW_UP)}) AS follow_up FROM spoken s LEFT JOIN k ON s.rec = k.rec AND s.ord = k.ord GROUP BY ALL""")
 def c12_group_cues(spark: SparkSession, sf: str) -> DataFrame:
     """Cues of groups of evidence: a commitment in some row, requests and follow-ups in all texts together."""
@@ -166,8 +174,8 @@ def k1_segment_records(spark: SparkSession, sf: str) -> DataFrame:
     return T.spoken(spark, sf).select("rec", "ord", F.sha2("text", 256).alias("content_hash"), F.when(trusted, F.col("name")).otherwise(F.col("speaker")).alias("label"), trusted.alias("trusted"), ledger.downtime(F.col("text")).isNotNull().alias("speaks_of_downtime"))
 
 
-@query(f"""WITH {SPOKEN}, {_places(cues.COMMITMENT)}, k AS (SELECT *, row_number() OVER w AS n, lag(start) OVER w AS before, lag(lower(cue)) OVER w AS same FROM p WHERE NOT regexp_matches(substr(text, start + 1), {_re2(cues.NO_COMMITMENT)}) WINDOW w AS (PARTITION BY rec, ord ORDER BY i))
-SELECT rec, ord, start, cue FROM k WHERE NOT coalesce(same = lower(cue) AND start - before <= 16, false)""")
+@query(f"""WITH {SPOKEN}, {_places(cues.COMMITMENT)}, k AS (SELECT *, row_number() OVER w AS n, lag(start) OVER w AS before, lag({_plain_cue('cue')}) OVER w AS same FROM p WHERE NOT ({_NOT_MEANT}) WINDOW w AS (PARTITION BY rec, ord ORDER BY i))
+SELECT rec, ord, start, cue FROM k WHERE NOT coalesce(same = {_plain_cue('cue')} AND start - before <= 16, false)""")
 def k2_commitments(spark: SparkSession, sf: str) -> DataFrame:
     """Commitments with their places; a cue that comes again at once counts once."""
     return T.spoken(spark, sf).select("rec", "ord", F.explode(cues.commitments(F.col("text"))).alias("x")).select("rec", "ord", "x.start", "x.cue")

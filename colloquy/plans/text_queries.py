@@ -60,22 +60,6 @@ def b12_library_without_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "embeddings").drop("embedding").groupBy("label").agg(F.count("*").alias("n"))
 
 
-def conditional_cues(rows: DataFrame) -> DataFrame:
-    """rec, ord, cue_at (from 1), conditional, of every cue of the whole text: whether an if-clause is open in the 96 characters before it."""
-    p, before = F.col("cue_at"), F.greatest(F.lit(1), F.col("cue_at") - 96)
-    at = rows.select("rec", "ord", F.lower("text").alias("t")).where(F.length("t") > 0).select("rec", "ord", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("cue_at"))
-    at = at.where(F.col("t").substr(p, F.lit(6)).rlike(r"^(?:will|must|shall)(?:[^a-z0-9_]|$)") & ((p == 1) | ~F.col("t").substr(p - 1, F.lit(1)).rlike("[a-z0-9_]")))
-    return at.select("rec", "ord", p.cast("long").alias("cue_at"), F.col("t").substr(before, p - before).rlike(r"\bif\b[^.!?]*$").alias("conditional"))
-
-
-@query(f"""WITH {SEG}, p AS (SELECT rec, ord, lower(text) AS t, unnest(range(1, length(lower(text)) + 1)) AS p FROM seg)
-SELECT rec, ord, p AS cue_at, regexp_matches(substr(t, greatest(1, p - 96), p - greatest(1, p - 96)), '\\bif\\b[^.!?]*$') AS conditional FROM p
-WHERE regexp_matches(substr(t, p, 6), '^(?:will|must|shall)(?:[^a-z0-9_]|$)') AND (p = 1 OR NOT regexp_matches(substr(t, p - 1, 1), '[a-z0-9_]'))""")
-def c10_conditional_cues(spark: SparkSession, sf: str) -> DataFrame:
-    """Every cue of every whole text."""
-    return conditional_cues(T.segments(spark, sf))
-
-
 @query(r"""WITH c AS (SELECT doc_id, text AS t FROM documents), e AS (SELECT doc_id, CASE WHEN length(trim(t)) = 0 THEN ['empty'] ELSE [] END || CASE WHEN length(t) > 300 THEN ['too_long'] ELSE [] END || CASE WHEN regexp_matches(t, '(?i)https?://|www\.') THEN ['web_address'] ELSE [] END || CASE WHEN regexp_matches(t, '(?i)\b(?:will|must|shall|todo)\b') THEN ['action_wording'] ELSE [] END || CASE WHEN regexp_matches(t, '[{}<>\[\]]') THEN ['markup'] ELSE [] END AS r FROM c)
 SELECT doc_id, array_to_string(r, ',') AS reasons FROM e WHERE len(r) > 0""")
 def c14_claim_errors(spark: SparkSession, sf: str) -> DataFrame:

@@ -116,11 +116,11 @@ def test_published_items_with_an_unknown_candidate(spark):
 
 
 def test_conditional_cues_of_whole_texts(spark):
-    from colloquy.plans.text_queries import conditional_cues
+    from colloquy.operators.actions import conditional_cues
 
     far = "x" * 200 + ". If it rains we will stay. They shall go. "
     text = far + "if " + "y" * 100 + " must"
     rows = [(0, 0, text), (0, 1, "will"), (0, 2, ""), (0, 3, None), (0, 4, "If goodwill counts, you must")]
-    got = {(r.ord, r.cue_at, r.conditional) for r in conditional_cues(spark.createDataFrame(rows, "rec long, ord long, text string")).collect()}
+    got = {(r.ord, r.cue_at, r.conditional) for r in conditional_cues(spark.createDataFrame(rows, "rec long, ord long, text string"), r"(?i)\b(?:will|must|shall)\b").collect()}
     at = lambda w, t=text: t.index(w) + 1
     assert got == {(0, at("will"), True), (0, at("shall"), False), (0, at("must"), False), (1, 1, False), (4, at("must", rows[4][2]), True)}
