@@ -1,11 +1,11 @@
-"""Reviews of each user's events, with faults of every kind, their reasons and one round of repair, beside the same in plain SQL."""
+"""Reviews and proposed minutes of each user's events, with faults of every kind, their reasons and one round of repair, beside the same in plain SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cues, repairs
+from ..operators import cues, minutes, repairs
 from ..sources import tables as T
 from . import topic_queries
 from .queries import FRAME, query
@@ -143,3 +143,87 @@ def m13_rounds(spark: SparkSession, sf: str) -> DataFrame:
     s = repairs.settled(reviews(r), r)
     told = s.rounds.select("doc", F.col("round").cast("long").alias("round"), F.array_join("changes", " ").alias("what"))
     return told.unionByName(s.left.select("doc", F.lit(0).cast("long").alias("round"), F.array_join("errors", " ").alias("what")))
+
+
+#: Contents of proposed minutes, dealt by key.
+TITLES = ("发布", "a / b", "一般讨论", "", "长" * 57, "测试")
+STATES = ("进行中", "Speaker 2 说", "", "好")
+OUTCOMES = ("继续", "系统将上线", "将实施", "形成共识", "Billy 负责测试", "系统计划将上线", "Xin 推进")
+OWNERS = ("Billy", "Xin", minutes.UNASSIGNED, "Ana", "Speaker 1", "Eve")
+REQUIRED = ("Billy", "Ana")
+
+
+def proposed(records: DataFrame) -> DataFrame:
+    """doc, payload: two themes, two updates, a decision and three actions of each recording, as JSON; one in 19 has a wrong key."""
+    n = records.groupBy("doc").agg(F.count("*").alias("n"))
+    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    hash_ = lambda k, salt: (F.col("doc") * 7919 + k * 104_729 + salt * 1_299_709) % 1_000_003
+
+    def ids(h: Column) -> Column:
+        name = lambda p: F.concat(F.lit("r"), "doc", F.lit("_"), p.cast("string"))
+        p = F.floor(h / 7) % F.col("n")
+        return F.when(h % 4 == 0, F.array(name(p))).when(h % 6 == 1, F.array(name(p), name((p + 30) % F.col("n")))).otherwise(F.array(name(p), name((p + h % 5) % F.col("n")), F.lit("none")))
+
+    each = lambda most, f: F.transform(F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long")), f)
+    text = lambda what, k: F.concat(F.lit(what), k.cast("string"))
+
+    def theme(k: Column) -> Column:
+        h = hash_(k, 11)
+        point = F.struct(of(PEOPLE, F.floor(h / 5)).alias("speaker"), F.lit("p").alias("text_zh"), F.lit("p").alias("text_en"), ids(hash_(k, 12)).alias("segment_ids"))
+        return F.struct(of(TITLES, h).alias("title_zh"), text("T", k).alias("title_en"), of(STATES, F.floor(h / 2)).alias("current_state_zh"), F.lit("s").alias("current_state_en"), of(OUTCOMES, F.floor(h / 3)).alias("outcome_zh"), F.lit("o").alias("outcome_en"), ids(h).alias("evidence_segment_ids"), F.when(h % 3 > 0, F.array(point)).otherwise(F.slice(F.array(point), 1, 0)).alias("key_points"))
+
+    def update(k: Column) -> Column:
+        h = hash_(k, 13)
+        return F.struct(of(PEOPLE, h).alias("participant"), F.lit("项").alias("project_zh"), F.lit("p").alias("project_en"), text("好", k).alias("update_zh"), text("u", k).alias("update_en"), ids(h).alias("segment_ids"))
+
+    def action(k: Column) -> Column:
+        h = hash_(k, 15)
+        return F.struct(of(OWNERS, h).alias("owner"), of(ITEMS, F.floor(h / 3)).alias("item_zh"), text("I", h % 2).alias("item_en"), ids(h).alias("segment_ids"))
+
+    decision = lambda k: F.struct(F.lit("定").alias("text_zh"), F.lit("d").alias("text_en"), ids(hash_(k, 14)).alias("segment_ids"))
+    payload = F.to_json(F.struct(each(2, theme).alias("themes"), each(2, update).alias("project_updates"), each(1, decision).alias("decisions"), each(3, action).alias("actions")))
+    return n.select("doc", F.when(F.col("doc") % 19 == 7, F.replace(payload, F.lit('"owner"'), F.lit('"boss"'))).when(F.col("doc") % 19 == 8, F.replace(payload, F.lit('"themes"'), F.lit('"topics"'))).otherwise(payload).alias("payload"))
+
+
+def _unit(kind: str, source: str, k: str, salt: int, path: str, name: str, more: str = "'' AS zh") -> str:
+    return f"SELECT doc, '{kind}' AS kind, {k} AS i, {path} AS path, {name} AS who, {_IDS} AS ids, h % 4 <> 0 AND h % 6 <> 1 AS odd, {more} FROM (SELECT *, {_hash(k, salt)} AS h FROM {source})"
+
+
+_T = _hash("k", 11)
+_MINUTES = f"""{_REVIEWS}, good AS (SELECT * FROM docs WHERE doc % 19 <> 8), two AS (SELECT *, unnest([1, 2]) AS k FROM good), one AS (SELECT *, 1 AS k FROM good), acts3 AS (SELECT *, unnest([1, 2, 3]) AS k FROM good WHERE doc % 19 <> 7),
+un AS ({_unit('theme', 'two', 'k', 11, "'theme:' || k", "''", f"{_of(OUTCOMES, 'h // 3')} AS zh")}
+  UNION ALL {_unit('point', f'(SELECT * FROM two WHERE {_T} % 3 > 0)', 'k', 12, "'theme:' || k || ':point:1'", _of(PEOPLE, f'{_T} // 5'))}
+  UNION ALL {_unit('project_update', 'two', 'k', 13, "'project_update:' || k", _of(PEOPLE, 'h'))}
+  UNION ALL {_unit('decision', 'one', 'k', 14, "'decision:' || k", "''")}
+  UNION ALL {_unit('action', 'acts3', 'k', 15, "'action:' || k", _of(OWNERS, 'h'), f"{_of(ITEMS, 'h // 3')} AS zh")}),
+ev AS (SELECT un.doc, un.kind, un.i, un.path, un.who, un.zh, r.pos, r.a, r.b, r.who AS said, r.agrees FROM (SELECT *, unnest(list_distinct(ids)) AS pos FROM un) AS un JOIN r ON r.doc = un.doc AND r.pos = un.pos),
+own AS (SELECT doc, kind, path, who, count(*) FILTER (said = who) AS n, max(b) - min(a) AS span, max(b) FILTER (said = who) - min(a) FILTER (said = who) AS own_span FROM ev GROUP BY ALL),
+th AS (SELECT doc, i, min(a) AS f, max(b) AS l, bool_or(agrees) AS agrees, list(pos) AS poss FROM ev WHERE kind IN ('theme', 'point') GROUP BY ALL),
+ou AS (SELECT un.doc, un.i, un.zh AS o, f, l, agrees, poss FROM un JOIN th ON th.doc = un.doc AND th.i = un.i WHERE kind = 'theme'),
+tx AS (SELECT doc, k, {_of(TITLES, _T)} AS title, {_of(STATES, f'{_T} // 2')} AS state FROM two),
+bad AS (SELECT doc, 'top_level_keys_invalid' AS code FROM docs WHERE doc % 19 = 8
+  UNION ALL SELECT doc, 'action:' || unnest([1, 2, 3]) || ':invalid' FROM docs WHERE doc % 19 = 7
+  UNION ALL SELECT doc, 'theme:' || k || ':title_zh_' || CASE title WHEN 'a / b' THEN 'combined_topic' WHEN '一般讨论' THEN 'generic' WHEN '' THEN 'missing' ELSE 'too_long' END FROM tx WHERE title NOT IN ('发布', '测试')
+  UNION ALL SELECT doc, 'theme:' || k || ':current_state_' || CASE state WHEN '' THEN 'zh_missing' ELSE 'anonymous_speaker_reference' END FROM tx WHERE state IN ('', 'Speaker 2 说')
+  UNION ALL SELECT doc, path || ':evidence_unknown:none' FROM un WHERE odd
+  UNION ALL SELECT un.doc, un.path || ':key_points_missing' FROM un JOIN (SELECT doc, path FROM ev WHERE kind = 'theme' AND said NOT LIKE 'Speaker%' GROUP BY ALL) AS n ON n.doc = un.doc AND n.path = un.path WHERE {_hash('i', 11).replace('doc', 'un.doc')} % 3 = 0
+  UNION ALL SELECT doc, path || CASE WHEN who LIKE 'Speaker%' THEN ':speaker_anonymous' ELSE ':speaker_evidence_mismatch' END FROM own WHERE kind = 'point' AND (who LIKE 'Speaker%' OR n = 0)
+  UNION ALL SELECT doc, path || CASE WHEN who LIKE 'Speaker%' THEN ':participant_unknown' WHEN n = 0 THEN ':participant_evidence_mismatch' ELSE ':evidence_span_too_wide:' || printf('%.1f', own_span) || '>120.0' END FROM own WHERE kind = 'project_update' AND (who LIKE 'Speaker%' OR n = 0 OR own_span > 120)
+  UNION ALL SELECT doc, path || CASE WHEN who = '{minutes.UNASSIGNED}' THEN ':requested_follow_up_not_grounded' WHEN who LIKE 'Speaker%' OR who = 'Eve' THEN ':owner_unknown' WHEN n = 0 THEN ':owner_evidence_mismatch' ELSE ':evidence_span_too_wide:' || printf('%.1f', span) || '>120.0' END FROM own WHERE kind = 'action' AND (who = '{minutes.UNASSIGNED}' OR who LIKE 'Speaker%' OR who = 'Eve' OR n = 0 OR span > 120)
+  UNION ALL SELECT doc, path || ':atomicity_review_required' FROM un WHERE kind = 'action' AND regexp_matches(zh, {_re2(repairs.SECOND_TASK)})
+  UNION ALL SELECT doc, path || ':participant_duplicate' FROM un WHERE kind = 'project_update' QUALIFY row_number() OVER (PARTITION BY doc, who ORDER BY i) > 1
+  UNION ALL SELECT doc, 'action:' || k || ':duplicate' FROM (SELECT *, {_hash('k', 15)} AS h FROM acts3) QUALIFY row_number() OVER (PARTITION BY doc, {_of(OWNERS, 'h')}, h % 2 ORDER BY k) > 1
+  UNION ALL SELECT b.doc, 'action:' || b.i || ':semantic_duplicate:' || a.i FROM un a JOIN un b ON a.doc = b.doc AND a.kind = 'action' AND b.kind = 'action' AND a.i < b.i AND a.who = b.who WHERE length(a.zh) >= 4 AND length(b.zh) >= 4 AND 2 * len(list_intersect({_PAIRS('a.zh')}, {_PAIRS('b.zh')})) >= len(list_distinct(list_concat({_PAIRS('a.zh')}, {_PAIRS('b.zh')})))
+  UNION ALL SELECT good.doc, 'project_update_missing:' || q.who FROM good, (SELECT unnest({_list(REQUIRED)}) AS who) AS q WHERE NOT EXISTS (FROM un WHERE un.doc = good.doc AND un.kind = 'project_update' AND un.who = q.who)
+  UNION ALL SELECT doc, 'theme:' || i || ':future_fact_unqualified' FROM ou WHERE o = '系统将上线'
+  UNION ALL SELECT doc, 'theme:' || i || ':outcome_unconfirmed_commitment' FROM ou WHERE o = '将实施' AND NOT EXISTS (FROM ev WHERE ev.doc = ou.doc AND kind = 'decision' AND list_contains(poss, pos))
+  UNION ALL SELECT doc, 'theme:' || i || ':outcome_ungrounded_consensus' FROM ou WHERE o = '形成共识' AND NOT agrees
+  UNION ALL SELECT ou.doc, 'theme:' || ou.i || ':future_owner_without_action:' || split_part(o, ' ', 1) FROM ou WHERE o IN ('Billy 负责测试', 'Xin 推进') AND NOT EXISTS (FROM ev WHERE ev.doc = ou.doc AND kind = 'action' AND ev.who = split_part(o, ' ', 1) AND ev.a BETWEEN f - 120 AND l + 120))"""
+
+
+@query(f"""WITH {_MINUTES} SELECT DISTINCT doc, code FROM bad""")
+def m7_breaches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every breach of each recording's proposed minutes."""
+    r = records(spark, sf)
+    p = proposed(r)
+    return minutes.breaches(p, r, p.select("doc", F.explode(F.array(*map(F.lit, REQUIRED))).alias("participant")))
