@@ -102,7 +102,7 @@ def misspelled(word: Column, k: Column) -> Column:
 @query()
 def d17_grounded_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """The last word of seven letters or more of each whole text, spelled in five ways, against that text."""
-    word = F.regexp_extract("text", r"(?s).*\b([A-Za-z]{7,})\b", 1)
+    word = F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{7,}\b"), F.lit(0)), F.lit(-1)), F.when(F.col("text").isNotNull(), ""))
     d = T.table(spark, sf, "documents").select("doc_id", "text", misspelled(word, F.pmod(F.xxhash64("doc_id"), F.lit(5))).alias("token"))
     return d.select("doc_id", "token", claims.grounded(F.col("token"), F.col("text")).alias("grounded"))
 
