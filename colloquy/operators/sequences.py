@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 
 def drop_repeats(rows: DataFrame, by: list[str], order: str, text: str, keep: int = 3, short: int = 12) -> DataFrame:
     """Without the rows after the first ``keep`` of a run of equal short texts (ends and case aside)."""
@@ -40,30 +42,67 @@ def merge_windows(rows: DataFrame, by: list[str], label: str, least: int = 350,
     return out.where(F.col("end_ms") - F.col("start_ms") >= least).drop("__run")
 
 
-def greedy(rows: DataFrame, by: list[str], t: str, apart: int, inclusive: bool = True) -> DataFrame:
-    """by, kept: times that lie ``apart`` (at least, or more than) after the last one kept; the first is kept."""
+def chained(links: DataFrame, by: list[str]) -> DataFrame:
+    """by, pos: the first position of each group and all that its links lead to. links: by, pos (from 1), next (a later position, null at the end).
+
+    By doubling: after n rounds all within 2**n links are known, and each link spans 2**n. A group of any length is spread over tasks, and
+    a chain of a million takes twenty rounds, each written to the shared scratch folder."""
+    scratch(links.sparkSession)
+    jump = links.where("next IS NOT NULL").select(*by, "pos", "next").checkpoint()
+    on = links.where("pos = 1").select(*by, "pos").checkpoint()
+    while True:
+        reached = on.join(jump, [*by, "pos"]).select(*by, F.col("next").alias("pos")).checkpoint()
+        if reached.isEmpty():
+            return on
+        on = on.unionByName(reached)
+        further = jump.select(*by, F.col("pos").alias("next"), F.col("next").alias("last"))
+        jump = jump.join(further, [*by, "next"]).select(*by, "pos", F.col("last").alias("next")).checkpoint()
+
 
-    def step(kept: Column, x: Column) -> Column:
-        far = x - F.element_at(kept, -1) >= apart if inclusive else x - F.element_at(kept, -1) > apart
-        return F.when((F.size(kept) == 0) | far, F.concat(kept, F.array(x))).otherwise(kept)
+def _next_from(rows: DataFrame, by: list[str], value: str, least: Column, side: int) -> DataFrame:
+    """rows (by, pos, value) with next: the first position whose value reaches ``least`` (side 0), or goes beyond it (side 2). One sorted pass over the rows and
+    what they look for."""
+    have = rows.select(*by, F.col(value).alias("__v"), F.lit(1).alias("__side"), F.col("pos").alias("__have"), F.lit(None).cast("long").alias("__seeks"))
+    seek = rows.select(*by, least.alias("__v"), F.lit(side).alias("__side"), F.lit(None).cast("long").alias("__have"), F.col("pos").alias("__seeks"))
+    ahead = Window.partitionBy(*by).orderBy("__v", "__side", "__have").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = have.unionByName(seek).withColumn("next", F.first("__have", ignorenulls=True).over(ahead)).where("__seeks IS NOT NULL")
+    return rows.join(found.select(*by, F.col("__seeks").alias("pos"), "next"), [*by, "pos"])
+
+
+def greedy(rows: DataFrame, by: list[str], t: str, apart: int, inclusive: bool = True) -> DataFrame:
+    """by, kept: times that lie ``apart`` (at least, or more than) after the last one kept; the first is kept. Null times are none, and null keys no group.
 
-    ordered = F.array_sort(F.collect_list(t))
-    return rows.groupBy(*by).agg(ordered.alias("__t")).select(*by, F.aggregate("__t", F.array().cast("array<bigint>"), step).alias("kept"))
+    Each time's successor is found for all at once, then those that the first leads to (see :func:`chained`)."""
+    x = rows.where(F.col(t).isNotNull()).select(*by, F.col(t).cast("long").alias("__t"))
+    x = x.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("__t")).cast("long"))
+    if inclusive and apart <= 0:
+        kept = x
+    else:
+        scratch(rows.sparkSession)
+        linked = _next_from(x, by, "__t", F.col("__t") + apart, 0 if inclusive else 2).checkpoint()
+        kept = linked.join(chained(linked, by), [*by, "pos"])
+    found = kept.groupBy(*by).agg(F.array_sort(F.collect_list("__t")).alias("kept"))
+    return rows.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("kept", F.array().cast("array<bigint>")).alias("kept"))
 
 
 def packed(rows: DataFrame, by: list[str], order: str, size: Column, most: int) -> DataFrame:
-    """rows with chunk: filled in order up to ``most``; a row beyond it starts the next, and may exceed it alone."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<ord:bigint,chunk:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["used"] == 0) | (s["used"] + x["size"] <= most)
-        chunk = F.when(fits, s["chunk"]).otherwise(s["chunk"] + 1)
-        used = F.when(fits, s["used"] + x["size"]).otherwise(x["size"])
-        return F.struct(used.alias("used"), chunk.alias("chunk"), F.concat(s["out"], F.array(F.struct(x["ord"].alias("ord"), chunk.alias("chunk")))).alias("out"))
-
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("ord"), size.cast("long").alias("size"))))
-    got = rows.groupBy(*by).agg(items.alias("items")).select(*by, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("x"))
-    return got.select(*by, F.col("x.ord").alias(order), F.col("x.chunk").cast("long").alias("chunk"))
+    """rows with chunk: filled in order up to ``most``; a row beyond it starts the next, and may exceed it alone (rows without size before it aside).
+
+    Every row's end of a chunk that would begin there is found for all at once from running sums, then the chunks that do begin (see :func:`chained`)."""
+    scratch(rows.sparkSession)
+    along = Window.partitionBy(*by).orderBy("__o")
+    x = rows.select(*by, F.col(order).cast("long").alias("__o"), F.coalesce(size, F.lit(0)).cast("long").alias("__n"))
+    x = x.withColumns({"pos": F.row_number().over(along).cast("long"), "__up": F.sum("__n").over(along)})
+    # the first row with a size from here on: it stays in the chunk whatever its size
+    weighty = F.first(F.when(F.col("__n") > 0, F.col("pos")), ignorenulls=True).over(along.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    x = x.withColumn("__first", weighty)
+    linked = _next_from(x, by, "__up", F.col("__up") - F.col("__n") + most, 2)
+    last = F.max("pos").over(Window.partitionBy(*by))
+    beyond = F.greatest("next", F.col("__first") + 1)
+    linked = linked.withColumn("next", F.when(F.col("next").isNotNull() & (beyond <= last), beyond)).checkpoint()
+    begins = chained(linked, by).withColumn("__b", F.lit(1))
+    chunk = F.sum(F.coalesce("__b", F.lit(0))).over(along) - 1
+    return linked.join(begins, [*by, "pos"], "left").select(*by, F.col("__o").alias(order), chunk.cast("long").alias("chunk"))
 
 
 def speaker_numbers(rows: DataFrame, by: list[str], label: str) -> DataFrame:
