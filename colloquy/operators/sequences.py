@@ -167,22 +167,16 @@ def supplied(chunks: DataFrame, by: list[str], position: str, around: int = 2) -
     return own.join(ends, by).select(*by, "chunk", "first", "last", F.greatest(F.lit(0), F.col("first") - around).alias("from"), F.least(F.col("__end"), F.col("last") + around).alias("to"))
 
 
-def most_long_parts(starts: list[float], ends: list[float], least: float) -> int:
-    """The most contiguous parts, each from its first range's start to its last range's end ``least`` or longer; 0 if there are none."""
-    best = [0] + [-1] * len(starts)
-    for j, end in enumerate(ends, 1):
-        if end < starts[j - 1]:
-            return 0
-        best[j] = max((best[i] + 1 for i in range(j) if best[i] >= 0 and end - starts[i] >= least), default=-1)
-    return max(0, best[-1])
-
-
 def long_parts(rows: DataFrame, by: str, least: float) -> DataFrame:
-    """by, parts: of the ranges of each group in order (a group's ranges are few: one per proposed topic)."""
+    """by, parts: the most contiguous parts of each group's ranges in order, each from its first range's start to its last range's end ``least`` or longer;
+    0 if there are none, or if a range ends before it starts. A group's ranges are few (one per proposed topic)."""
+    ranges = F.array_sort(F.collect_list(F.struct(F.col("start_ms").cast("double").alias("a"), F.col("end_ms").cast("double").alias("b"))))
+    x = F.col("x")
 
-    @F.udf("int")
-    def count(items: list) -> int:
-        return most_long_parts([x[0] for x in items], [x[1] for x in items], least)
+    def step(best: Column, j: Column) -> Column:
+        # best: of each number of ranges at the beginning the most parts, -1 if they make none
+        ends = F.transform(best, lambda n, i: F.when((n >= 0) & (F.get(x, j)["b"] - F.get(x, i)["a"] >= least), n + 1))
+        return F.concat(best, F.array(F.coalesce(F.array_max(ends), F.lit(-1))))
 
-    ranges = F.array_sort(F.collect_list(F.struct(F.col("start_ms").cast("double").alias("a"), F.col("end_ms").cast("double").alias("b"))))
-    return rows.groupBy(by).agg(ranges.alias("x")).select(by, count("x").cast("long").alias("parts"))
+    most = F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), F.array(F.lit(0)), step, lambda best: F.greatest(F.lit(0), F.element_at(best, -1)))
+    return rows.groupBy(by).agg(ranges.alias("x")).select(by, F.when(F.exists(x, lambda r: r["b"] < r["a"]), 0).otherwise(most).cast("long").alias("parts"))

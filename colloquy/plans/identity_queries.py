@@ -156,7 +156,9 @@ def g17_topic_count_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return T.segments(spark, sf).groupBy("rec").agg(ideal.alias("i")).select("rec", F.greatest(F.lit(1), F.col("i") - 1).alias("least"), F.least(F.lit(10), F.col("i") + 2).alias("most"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TURN}, x AS (SELECT rec, list([start_ms, end_ms] ORDER BY start_ms, end_ms) AS x FROM turn GROUP BY rec), k AS (SELECT rec, x, 0 AS j, [0] AS best FROM x UNION ALL
+SELECT rec, x, j + 1, list_append(best, coalesce(list_max([best[i] + 1 FOR i IN range(1, len(best) + 1) IF best[i] >= 0 AND x[j + 1][2] - x[i][1] >= 20000]), -1)) FROM k WHERE j < len(x))
+SELECT rec, CAST(greatest(0, best[-1]) AS BIGINT) AS parts FROM k WHERE j = len(x)""")
 def g17_long_parts(spark: SparkSession, sf: str) -> DataFrame:
     """The most parts of 20 seconds or more that a conversation's turns can be joined to."""
     return sequences.long_parts(T.turns(spark, sf), "rec", 20_000.0)

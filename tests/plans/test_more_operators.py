@@ -75,15 +75,17 @@ def test_runs_and_ranges(spark):
     assert sorted(tuple(x) for x in sequences.supplied(s, ["rec"], "ord", 1).collect()) == [(1, 0, 0, 1, 0, 2), (1, 1, 2, 2, 1, 2)]
 
 
-@pytest.mark.parametrize("starts", [[0, 1, 2, 3, 4, 5], [0, 3, 3, 9, 10, 11], [0], []])
-def test_long_parts_against_all_partitions(starts):
-    ends = [s + 2 for s in starts]
-    n, best = len(starts), 0
-    for cuts in itertools.product([0, 1], repeat=max(0, n - 1)):
-        edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], n]
-        if n and all(ends[b - 1] - starts[a] >= 4 for a, b in itertools.pairwise(edges)):
-            best = max(best, len(edges) - 1)
-    assert sequences.most_long_parts(starts, ends, 4) == best
+def test_long_parts_against_all_partitions(spark):
+    cases = [[(0, 2), (1, 3), (2, 4), (3, 5), (4, 6), (5, 7)], [(0, 2), (3, 5), (3, 5), (9, 11), (10, 12), (11, 13)], [(0, 2)], [(0, 9)], [(0, 9), (20, 19)]]
+    rows = spark.createDataFrame([(c, a, b) for c, ranges in enumerate(cases) for a, b in ranges], "c int, start_ms long, end_ms long")
+    got = {r.c: r.parts for r in sequences.long_parts(rows, "c", 4.0).collect()}
+    for c, ranges in enumerate(cases):
+        n, best = len(ranges), 0
+        for cuts in itertools.product([0, 1], repeat=n - 1):
+            edges = [0, *[i + 1 for i, x in enumerate(cuts) if x], n]
+            if all(b >= a for a, b in ranges) and all(ranges[b - 1][1] - ranges[a][0] >= 4 for a, b in itertools.pairwise(edges)):
+                best = max(best, len(edges) - 1)
+        assert got[c] == best
 
 
 def test_sampled_votes(spark):
