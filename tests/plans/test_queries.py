@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from colloquy.plans import action_queries, contract_queries, identity_queries, more_queries, review_queries, rule_queries, text_queries, topic_queries, voice_queries  # noqa: F401
+from colloquy.plans import action_queries, cluster_queries, contract_queries, identity_queries, more_queries, review_queries, rule_queries, text_queries, topic_queries, voice_queries  # noqa: F401
 from colloquy.plans import queries as Q
 
 
