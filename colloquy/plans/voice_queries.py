@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, whole
-from ..operators import precision
+from ..operators import precision, signals
 from ..sources import tables as T
 from .queries import query
 
@@ -61,3 +61,31 @@ def j12_session_registry(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles of unit length, a row a component (millionths), with what the gate says of them."""
     r = precision.registry(windows(spark, sf), ["vec_id"], "vec_id").withColumn("l", F.sqrt(dot(F.col("sums"), F.col("sums")).cast("double")))
     return r.select("name", "samples", "span", "eligible", "status", "l", F.posexplode("sums").alias("i", "s")).select("name", "samples", "span", "eligible", "status", (F.col("i") + 1).cast("long").alias("i"), F.floor(F.col("s") * 1_000_000 / F.col("l")).alias("x"))
+
+
+#: Samples a second, of a window and between windows; samples of a recording.
+RATE, WIDTH, HOP, SIZE = 16_000, 64, 32, 4096
+
+
+def sounds(spark: SparkSession, sf: str) -> DataFrame:
+    """rec, i, x: events by number stand for samples."""
+    e = T.table(spark, sf, "events")
+    return e.select(F.floor(F.col("event_id") / SIZE).alias("rec"), (F.col("event_id") % SIZE).alias("i"), (F.col("value") - 20).alias("x"))
+
+
+_EDGES = ", ".join(f"CAST({float(e)!r} AS DOUBLE)" for e in signals.edges(RATE))
+
+
+@query(f"""WITH s AS (SELECT event_id // {SIZE} AS rec, event_id % {SIZE} AS i, value - 20 AS x FROM events WHERE value IS NOT NULL), w AS (SELECT rec, i, x, unnest(generate_series(greatest(0, i // {HOP} - {WIDTH // HOP - 1}), i // {HOP})) AS win FROM s),
+f AS (SELECT rec, win, x, row_number() OVER o - 1 AS j, count(*) OVER (PARTITION BY rec, win) AS n, lag(x) OVER o AS p FROM w WINDOW o AS (PARTITION BY rec, win ORDER BY i)), g AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * j / (n - 1))) AS h FROM f WHERE n >= 32),
+k AS (SELECT rec, win, n, j, h, unnest(generate_series(1, n // 2)) AS k FROM g), sp AS (SELECT rec, win, n, k, pow(sum(h * cos(2 * pi() * j * k / n)), 2) + pow(sum(h * sin(2 * pi() * j * k / n)), 2) AS power FROM k GROUP BY ALL),
+ed AS (SELECT b - 1 AS b, e[b] AS low, e[b + 1] AS high FROM (SELECT unnest(generate_series(1, {signals.BANDS})) AS b, [{_EDGES}] AS e)),
+bd AS (SELECT rec, win, b, ln(avg(power) + 1e-10) AS v FROM sp JOIN ed ON k * CAST({RATE} AS DOUBLE) / n >= low AND k * CAST({RATE} AS DOUBLE) / n < high GROUP BY ALL),
+al AS (SELECT rec, win, ln(sqrt(avg(x * x) + 1e-12) + 1e-10) AS rms, count(*) FILTER ((x < 0) <> (p < 0)) / (max(n) - 1) AS turns FROM g GROUP BY ALL),
+o AS (SELECT al.rec, al.win, ed.b, coalesce(v, -23) AS v FROM al CROSS JOIN ed LEFT JOIN bd ON bd.rec = al.rec AND bd.win = al.win AND bd.b = ed.b UNION ALL SELECT rec, win, {signals.BANDS}, rms FROM al UNION ALL SELECT rec, win, {signals.BANDS + 1}, turns FROM al)
+SELECT rec, win AS "window", CAST(b AS BIGINT) AS feature, CAST(floor(v * 100 + 0.5) AS BIGINT) AS value FROM o""")
+def j3_band_energies(spark: SparkSession, sf: str) -> DataFrame:
+    """Band energies of overlapping windows, a row a feature, in hundredths."""
+    w = signals.framed(sounds(spark, sf), ["rec"], WIDTH, HOP)
+    e = signals.band_energies(w, RATE, 32 / RATE).where("features IS NOT NULL").select("rec", "window", F.posexplode("features").alias("feature", "v"))
+    return e.select("rec", "window", F.col("feature").cast("long").alias("feature"), F.floor(F.col("v") * 100 + 0.5).alias("value"))
