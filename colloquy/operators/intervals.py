@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import overlap
@@ -65,6 +67,38 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], keep: list[str]) ->
     return both.select(*left.columns, *[F.col("__last")[c].alias(f"r_{c}") for c in keep])
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str], at: str) -> DataFrame:
+    """Both sides in one relation: left rows whole in __row with __t their ``at``, right rows with __t their start, __b their end."""
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in on))
+    a = left.where(known & F.col(at).isNotNull()).select(*on, F.col(at).alias("__t"), F.struct(*left.columns).alias("__row"))
+    b = right.where(known & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()).select(*on, F.col("start_ms").alias("__t"), F.col("end_ms").alias("__b"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def nearest_gap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left (start_ms, end_ms and others) with gap to the nearest interval of right with equal keys, 0 where they touch or overlap.
+
+    Of the intervals that start no later than a row ends, the one that ends last is nearest; of the others, the one that starts first.
+    So one sorted pass each way over both sides gives both, and no pairs are formed. An interval ends no earlier than it starts. Rows
+    without an interval of their keys, and rows and intervals with a null key or time, are left out."""
+    key = Window.partitionBy(*on)
+    side = F.col("__row").isNotNull()  # at equal times an interval comes before the rows it meets
+    before = F.max("__b").over(key.orderBy("__t", side).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(~side, F.col("__t"))).over(key.orderBy(F.desc("__t"), F.desc(side)).rowsBetween(Window.unboundedPreceding, 0))
+    both = _merged(left.where("start_ms IS NOT NULL"), right, on, "end_ms").withColumns({"__before": before, "__after": after}).where(side)
+    gap = F.least(F.when(F.col("__before").isNotNull(), F.greatest(F.lit(0), F.col("__row.start_ms") - F.col("__before"))), F.col("__after") - F.col("__row.end_ms"))
+    return both.withColumn("__gap", gap).where("__gap IS NOT NULL").select("__row.*", F.col("__gap").alias("gap"))
+
+
+def starting_inside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left rows that start in an interval of right with equal keys, its ends included: that of all begun so far which ends last is not over.
+
+    One sorted pass; a row with a null key or start is in none."""
+    side = F.col("__row").isNotNull()
+    last = F.max("__b").over(Window.partitionBy(*on).orderBy("__t", side).rowsBetween(Window.unboundedPreceding, 0))
+    return _merged(left, right, on, "start_ms").withColumn("__last", last).where(side & (F.col("__last") >= F.col("__t"))).select("__row.*")
+
+
 def contained(left: DataFrame, right: DataFrame, on: list[str], width: int = 60_000) -> DataFrame:
     """left rows wholly in an interval of right, with the start and end of the first one, as in_a and in_b."""
     pairs = overlap_join(left, right.select(*on, "start_ms", "end_ms"), on, width).where("start_ms >= r_start_ms AND end_ms <= r_end_ms")

@@ -95,8 +95,7 @@ def e11_window_votes(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {TURN} SELECT rec, ord FROM seg s WHERE EXISTS (SELECT 1 FROM turn t WHERE t.rec = s.rec AND t.speaker = s.speaker AND s.start_ms BETWEEN t.start_ms AND t.end_ms)""")
 def e12_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     """Segments that start in a turn (both ends in) of the same speaker."""
-    s, t = T.segments(spark, sf), T.turns(spark, sf).select("rec", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), "speaker")
-    return s.join(t, ["rec", "speaker"]).where("start_ms BETWEEN a AND b").select("rec", "ord").distinct()
+    return intervals.starting_inside(T.segments(spark, sf).drop("text"), T.turns(spark, sf), ["rec", "speaker"]).select("rec", "ord")
 
 
 @query(f"""WITH {SEG}, h AS (SELECT rec, start_ms, end_ms FROM seg WHERE contains(lower(text), 'price') OR contains(lower(text), 'the ')) SELECT s.rec, s.ord, CAST(count(*) AS BIGINT) AS hits FROM seg s JOIN h ON s.rec = h.rec AND s.start_ms < h.end_ms + 8000 AND h.start_ms - 8000 < s.end_ms GROUP BY ALL""")
@@ -345,8 +344,7 @@ def d16_bigram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {TURN} SELECT s.rec, s.ord, min(greatest(0, t.start_ms - s.end_ms, s.start_ms - t.end_ms)) AS gap FROM seg s JOIN turn t ON s.rec = t.rec AND s.speaker = t.speaker GROUP BY ALL""")
 def d27_gap(spark: SparkSession, sf: str) -> DataFrame:
-    s, t = T.segments(spark, sf), T.turns(spark, sf).select("rec", "speaker", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-    return s.join(t, ["rec", "speaker"]).groupBy("rec", "ord").agg(F.min(C.gap(F.col("start_ms"), F.col("end_ms"), F.col("a"), F.col("b"))).alias("gap"))
+    return intervals.nearest_gap(T.segments(spark, sf).drop("text"), T.turns(spark, sf), ["rec", "speaker"]).select("rec", "ord", "gap")
 
 
 @query(f"""WITH {SEG} SELECT count(*) AS n, CAST(count(*) FILTER (speaker = 'user') AS BIGINT) AS users, CAST(count(*) FILTER (speaker = 'system') AS BIGINT) AS systems, count(DISTINCT rec) AS recordings FROM seg""")
