@@ -26,6 +26,19 @@ def clock(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, r)).otherwise(F.format_string("%02d:%02d", m, r))
 
 
+def one_decimal(x: Column) -> Column:
+    """A double with one decimal, rounded from its exact value, exact halves to even (as C's and Python's %.1f). ``format_string`` rounds the shortest
+    decimals that name it instead: 549.15 is a little less than they say, and ends in 1, not 2. From 2**53 on there is no fraction to round."""
+
+    def rounded(v: Column) -> Column:
+        units = F.floor((F.abs(v) - F.floor(F.abs(v))) * 2.0**58) * 20  # twentieths, in 2**-58: exact wherever a half is near
+        at, rest = F.shiftright(units, 58), units.bitwiseAND(F.lit(2**58 - 1))
+        n = F.shiftright(at, 1) + F.when((at % 2 == 1) & ((rest > 0) | (at % 4 == 3)), 1).otherwise(0)
+        return F.concat(F.when(v < 0, "-").otherwise(""), (F.floor(F.abs(v)) + F.floor(n / 10)).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+    return F.get(F.transform(F.array(x), lambda v: F.when(F.abs(v) < 2.0**53, rounded(v)).when(v.isNotNull(), F.format_string("%.1f", v))), F.lit(0))
+
+
 def seconds(text: Column) -> Column:
     """Of mm:ss or hh:mm:ss; null for anything else, also for minutes or seconds beyond 59 after the first part."""
     parts = F.split(F.trim(text), ":")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bigram_share, normal_space
+from ..functions.columns import bigram_share, normal_space, one_decimal
 from ..sources.tables import scratch
 from .cues import FUTURE
 from .repairs import AGREES, SECOND_TASK, SPAN
@@ -116,7 +116,7 @@ def breaches(payloads: DataFrame, records: DataFrame, required: DataFrame) -> Da
     span = lambda rows: F.array_max(F.transform(rows, lambda x: x["end"])) - F.array_min(F.transform(rows, lambda x: x["start"]))
     at = lambda *code: F.concat_ws(":", "path", *[F.lit(c) if isinstance(c, str) else c for c in code])
     kind = lambda *k: F.col("kind").isin(*k)
-    long_ = lambda rows: F.when(span(rows) > SPAN, F.concat(F.col("path"), F.lit(":evidence_span_too_wide:"), F.format_string("%.1f", span(rows)), F.lit(f">{SPAN:.1f}")))
+    long_ = lambda rows: F.when(span(rows) > SPAN, F.concat(F.col("path"), F.lit(":evidence_span_too_wide:"), one_decimal(span(rows)), F.lit(f">{SPAN:.1f}")))
     own, cites_some = F.size("own") > 0, F.size("rows") > 0
     texts = []
     for k, names in TEXTS.items():
@@ -171,8 +171,8 @@ def breaches(payloads: DataFrame, records: DataFrame, required: DataFrame) -> Da
     theme = lambda *code: F.concat_ws(":", F.lit("theme"), "nth", *[F.lit(c) if isinstance(c, str) else c for c in code])
     some, is_long = F.size("all") > 0, F.col("duration") >= LONG
     of_themes = themes.select("doc", F.explode(codes(
-        F.when(is_long & some & (reach < THEME_SPAN), theme("span_too_short", F.concat(F.format_string("%.1f", reach), F.lit(f"<{THEME_SPAN:.1f}")))),
-        F.when(is_long & some & (F.array_max(gaps) > THEME_GAP), theme("evidence_gap_too_wide", F.concat(F.format_string("%.1f", F.array_max(gaps)), F.lit(f">{THEME_GAP:.1f}")))),
+        F.when(is_long & some & (reach < THEME_SPAN), theme("span_too_short", F.concat(one_decimal(reach), F.lit(f"<{THEME_SPAN:.1f}")))),
+        F.when(is_long & some & (F.array_max(gaps) > THEME_GAP), theme("evidence_gap_too_wide", F.concat(one_decimal(F.array_max(gaps)), F.lit(f">{THEME_GAP:.1f}")))),
         F.when(F.col("outcome").rlike(FACT) & ~F.col("outcome").rlike(QUALIFIED), theme("future_fact_unqualified")),
         F.when(F.col("outcome").rlike(UNCONFIRMED) & ~F.col("outcome").rlike(UNRESOLVED) & ~F.arrays_overlap(F.transform("all", lambda x: x["id"]), "decided"), theme("outcome_unconfirmed_commitment")),
         F.when(F.col("outcome").rlike(CONSENSUS) & ~told.rlike(AGREES), theme("outcome_ungrounded_consensus")),

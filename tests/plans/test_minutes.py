@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import copy
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from colloquy.functions.columns import one_decimal
 from colloquy.operators import minutes as M
 
 RECORDS = [("a", 0.0, 30.0, "Ana", "I will test it."), ("b", 40.0, 70.0, "Ben", "Fine, agreed."), ("c", 100.0, 130.0, "Speaker 3", "I need your help here to test it."), ("d", 400.0, 430.0, "Ana", "Later on."), ("e", 1700.0, 1790.0, "Speaker 3", "End.")]
@@ -156,6 +159,21 @@ def test_short_themes_of_long_recordings(spark):
     assert sorted(r.code for r in M.breaches(*args).collect()) == ["theme:1:span_too_short:60.0<180.0", "theme:2:span_too_short:60.0<180.0"]
 
 
+def test_spans_round_as_their_exact_values(spark):
+    records = [(1, "a", 0.0, 30.0, "Ana", "x"), (1, "d", 500.0, 549.15, "Ana", "y")]  # 549.15 is a little less than it says
+    args = spark.createDataFrame([(1, json.dumps(changed(*A, "segment_ids", ["a", "d"]) | {"themes": [BASE["themes"][0] | {"evidence_segment_ids": ["a"]}], "decisions": []}))], "doc long, payload string"), spark.createDataFrame(records, "doc long, id string, start double, end double, speaker string, text string"), spark.createDataFrame([], "doc long, participant string")
+    assert [r.code for r in M.breaches(*args).collect()] == [f"action:1:evidence_span_too_wide:{549.15:.1f}>120.0"]
+
+
+def test_one_decimal(spark):
+    rng = random.Random(1)
+    values = [i / 20 for i in range(-60, 300)] + [i / 1000 for i in range(549000, 549999)] + [rng.randrange(10**8) / 1000 - rng.randrange(10**8) / 1000 for _ in range(2000)]
+    values += [0.05, 0.049999999999999996, 0.25000000000000006, 0.24999999999999997, 1e-300, 0.95, 0.9500000000000001, 9.95, 99.95, 2.0**52 + 0.5, 2.0**53 - 1]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", one_decimal(F.col("v")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: f"{v:.1f}" for i, v in enumerate(values)}
+    assert spark.range(1).select(one_decimal(F.lit(None).cast("double"))).first()[0] is None
+
+
 def test_no_payloads(spark):
     empty = lambda s: spark.createDataFrame([], s)
     assert M.breaches(empty("doc long, payload string"), empty("doc long, id string, start double, end double, speaker string, text string"), empty("doc long, participant string")).collect() == []
