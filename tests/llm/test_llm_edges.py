@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -239,6 +239,50 @@ def test_transducer_against_merging():
     same()
 
 
+def test_new_words_are_simulated_together(monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    one_by_one = []
+    simulated = bpe.Transducer._simulated
+    monkeypatch.setattr(bpe.Transducer, "_simulated", lambda *a: one_by_one.append(1) or simulated(*a))
+    rng = np.random.default_rng(5)
+    parts = ["th", "er", "eau", "ción", "zü", "q", "日", "ing", "x", "é", "ent", "🎉"]
+    words = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(3000)]
+    long = ["".join(rng.choice(parts, 400)), "ab" * 700, "日" * 500, "=" * 999]
+    c = bpe.Codec(bpe.read_ranks(path), public_tokenizers.PATTERN)
+    for texts, most in ((words, 0), ([w + v for w, v in zip(words, words[::-1], strict=True)], 0), (words[:5] + long + [""], 64)):
+        one_by_one.clear()
+        ids, sizes = c.coded(texts, False)
+        cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
+        assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == [t.encode_ordinary(x) for x in texts]
+        assert len(one_by_one) <= most
+
+
+def test_pairs_in_bulk():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    m = bpe.Transducer(ranks)
+    sides = m.in_step.sides
+    rng = np.random.default_rng(6)
+    whole = np.flatnonzero(sides.whole)
+    a, b = rng.choice(whole, 20_000), rng.choice(whole, 20_000)
+    a[:10_000], b[:10_000] = rng.choice(sides.left[whole], 10_000), rng.choice(sides.right[whole], 10_000)
+    a, b = a[sides.whole[a] & sides.whole[b]], b[sides.whole[a] & sides.whole[b]]
+    want = [m.merging(m.bytes[x] + m.bytes[y])[0] == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sides.by_rank and sides.fit(a, b).tolist() == want and sides.fit(a, b).tolist() == want
+
+
+@pytest.mark.parametrize("tokens", [["abc", "ab", "ca"], ["bc", "abc", "ab", "aa", "aaa", "bca"], ["aa", "aaaa", "ab"]])
+def test_tokens_out_of_order(tokens):
+    """Tokens may come before those that they are made of."""
+    ranks = {bytes([i]): i for i in range(256)} | {t.encode(): 256 + i for i, t in enumerate(tokens)}
+    words = ["".join(w).encode() for n in range(1, 8) for w in product("abc", repeat=n)]
+    m = bpe.Transducer(ranks)
+    ids, sizes = m.words(words)
+    cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == [[ranks[w]] if w in ranks else m.merging(w)[0] for w in words]
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(None, 1), (3, None)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
